@@ -5,16 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, html_text, line_dedup, quality, secret_scan, token_counts, token_files
+from linkloom.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality, secret_scan, span_dedup, token_counts, token_files
 
 # Fixed values of the contracts.
 LINE_MIN_DOCS = 10
+NGRAM, NGRAM_SHARE = 3, 90
+SPAN_WORDS = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -40,9 +46,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs, LINE_MIN_DOCS)).drop("keep")
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove(table(spark, sf_dir, "documents"), SPAN_WORDS).drop("kept_text")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_secret_scan, op4_token_files, op5_quality_rules, op6_token_counts, op7_line_dedup, op9_byte_bpe)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), NGRAM, NGRAM_SHARE)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_html_text,
+        op3_secret_scan,
+        op4_token_files,
+        op5_quality_rules,
+        op6_token_counts,
+        op7_line_dedup,
+        op8_span_dedup,
+        op9_byte_bpe,
+        op10_ngram_join,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

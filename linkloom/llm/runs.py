@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +17,14 @@ from pyspark.sql import types as T
 from linkloom.llm import scratch
 
 #: What a streamed row stands for.
-_SURE, _PENDING, _SUMMARY = 0, 1, 2
+_SURE, _PENDING, _SUMMARY, _FIRST = 0, 1, 2, 3
 
 
 class _Streamer:
     """Streams sorted rows; ``keys`` and ``item`` are names of long columns without nulls."""
 
-    def __init__(self, names: list[str], keys: list[str], item: str, at_least: int, later: bool, part: int) -> None:
-        self.names, self.keys, self.item, self.n, self.later, self.part = names, keys, item, at_least, later, part
+    def __init__(self, names: list[str], keys: list[str], item: str, at_least: int, later: bool, flag: bool) -> None:
+        self.names, self.keys, self.item, self.n, self.later, self.flag = names, keys, item, at_least, later, flag
         self.held: list[pa.RecordBatch] = []  # rows of the open run, as long as they don't decide it
         self.key: tuple | None = None
         self.count, self.first, self.last, self.opening = 0, 0, 0, True
@@ -51,7 +50,7 @@ class _Streamer:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            self.schema = pa.schema([*batch.schema, ("_kind", pa.int32()), ("_count", pa.int64()), ("_least", pa.int64())])
+            self.schema = pa.schema([*((f.name, f.type) for f in batch.schema), ("_kind", pa.int32()), ("_count", pa.int64()), ("_least", pa.int64())])
             keys = [batch.column(self.names.index(k)).to_numpy(zero_copy_only=False) for k in self.keys]
             items = batch.column(self.names.index(self.item)).to_numpy(zero_copy_only=False)
             change = np.zeros(len(items), bool)
@@ -83,12 +82,17 @@ class _Streamer:
                     take = items[a:b] != np.repeat(items[heads[:whole]], lens)
                 else:
                     take = np.repeat(np.add.reduceat(new.astype(np.int64), heads[:whole] - a) >= self.n, lens)
-                if take.any():
-                    yield self._out(batch.slice(a, b - a).filter(pa.array(take)), _SURE)
+                yield from self._told(batch.slice(a, b - a), take)
             self._begin(keys, items, heads[-1])
             yield from self._extend(batch, items, int(heads[-1]), int(stops[-1]))
         yield from self._close(True)
 
+    def _told(self, part: pa.RecordBatch, take: np.ndarray):
+        if take.any():
+            yield self._out(part.filter(pa.array(take)), _SURE)
+        if self.flag and not take.all():
+            yield self._out(part.filter(pa.array(~take)), _FIRST)
+
     def _begin(self, keys, items, at) -> None:
         self.key = tuple(k[at].item() for k in keys)
         self.count, self.first, self.last = 0, items[at].item(), None
@@ -101,9 +105,7 @@ class _Streamer:
         if self.opening:  # another partition may hold the run's first rows
             yield self._out(part, _PENDING)
         elif self.later:
-            rest = part.filter(pa.array(own != self.first))
-            if rest.num_rows:
-                yield self._out(rest, _SURE)
+            yield from self._told(part, own != self.first)
         elif self.count >= self.n:
             yield from (self._out(x, _SURE) for x in self.held)
             self.held = []
@@ -112,9 +114,10 @@ class _Streamer:
             self.held.append(part)
 
 
-def scan(rows: DataFrame, keys: list[str], item: str, at_least: int = 2, later: bool = False, name: str = "runs") -> DataFrame:
+def scan(rows: DataFrame, keys: list[str], item: str, at_least: int = 2, later: bool = False, flag: bool = False, name: str = "runs") -> DataFrame:
     """The rows whose key has at least ``at_least`` distinct items; with ``later``, those whose item isn't their key's least.
 
+    With ``flag``, all rows, and in ``_later`` whether ``later`` would have them.
     ``keys`` and ``item`` are long columns without nulls. Rows with the same key
     and item stay together. The result is a written table; an empty input gives
     an empty one.
@@ -122,14 +125,18 @@ def scan(rows: DataFrame, keys: list[str], item: str, at_least: int = 2, later:
     names = rows.columns
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema] + list(T._parse_datatype_string("_kind int, _count long, _least long").fields))
     sort = [*keys, item]
+    later = later or flag
 
     def run(batches):
-        yield from _Streamer(names, keys, item, at_least, later, TaskContext.get().partitionId()).run(batches)
+        yield from _Streamer(names, keys, item, at_least, later, flag).run(batches)
 
     streamed = scratch.written(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(run, schema), name)
     # at most two rows a partition
     open_runs = streamed.where(F.col("_kind") == _SUMMARY).groupBy(*keys).agg(F.sum("_count").alias("_n"), F.min("_least").alias("_low"))
     sure = streamed.where(F.col("_kind") == _SURE).select(*names)
     pending = streamed.where(F.col("_kind") == _PENDING).select(*names).join(F.broadcast(open_runs), keys)
+    if flag:
+        told = pending.withColumn("_later", F.col(item) != F.col("_low")).select(*names, "_later")
+        return sure.withColumn("_later", F.lit(True)).unionByName(streamed.where(F.col("_kind") == _FIRST).select(*names).withColumn("_later", F.lit(False))).unionByName(told)
     settled = pending.where(F.col(item) != F.col("_low")) if later else pending.where(F.col("_n") >= at_least)
     return sure.unionByName(settled.select(*names))
