@@ -1,17 +1,15 @@
 """Jaccard join of documents by a blocked product of the document by n-gram matrix.
 
-The n-gram columns are dealt into blocks, their number derived from the sets'
-sizes so that two documents over the threshold agree on at least two whole
-blocks. A first product over block digests yields the few cells of the document
-by document matrix that can reach the threshold; a second accumulates the true
-overlap of those cells. Pairs whose sizes or block counts can't reach the
-threshold are discarded before any n-gram of theirs is looked at.
+The n-gram columns have one global order, common ones last. By its size, a row
+can only reach the threshold with another if they meet in its first columns; a
+product over that block of columns alone yields the cells worth computing. For
+these the whole overlap is accumulated, and what falls below the bound that the
+two sizes set is discarded. The cells of a column go through one middle row, so
+a common column costs as many cells as it has rows, not their square.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,80 +18,78 @@ from pyspark.sql import functions as F
 from linkloom.llm import arrow, runs, scratch, shingles
 from linkloom.llm.components import components
 
-#: Sizes of a class differ by at most this factor; only the number of digests depends on it.
-_RATIO = 1.3
-#: Blocks on which two documents over the threshold agree at least.
-_AGREE = 3
+#: N-grams in more than this share of a slice's documents are common; they come last in the order.
+COMMON_SHARE = 0.002
+#: The most common n-grams that are put last, so that their list can be broadcast.
+COMMON_GRAMS = 50_000
 #: The most documents whose ids are sent to every task; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
 
 
-def size_classes(limit: int) -> list[int]:
-    """First sizes of the classes, up to one above ``limit``."""
-    bounds = [1]
-    while bounds[-1] <= limit:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * _RATIO)))
-    return bounds
+def common_grams(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Hashes of n-grams that many documents have, the rarest first, at most ``COMMON_GRAMS``; each slice of all documents reports its own.
 
+    Any list gives the same links; a good one has rows meet in fewer columns by chance.
+    """
 
-def blocks_of(largest: int, share: int) -> int:
-    """Blocks for sets of at most ``largest`` n-grams; 0 if only equal sets can reach the threshold.
+    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles.shingle_set(shingles.lower_words(t), n) for t in arrow.texts(batch)]
+        grams, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= max(3, COMMON_SHARE * len(sets))
+        return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often])], names=["gram", "n"])
 
-    Sets of sizes a and b over the threshold differ in at most
-    (a + b) (100 - share) / (100 + share) n-grams, and each spoils one block.
-    """
-    apart = 2 * largest * (100 - share) // (100 + share)
-    return apart + _AGREE if apart else 0
+    found = arrow.map_text(arrow.base(docs, id_col, text_col).select("text"), of_slice, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS).select("gram").collect()
+    return np.array([r.gram for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def block_digests(grams: np.ndarray, share: int, bounds: list[int]) -> np.ndarray:
-    """A digest of each block that has n-grams, in the classes where the set can be the smaller or the larger of a pair.
+class Order:
+    """The global order of n-grams: by hash, then the common ones as listed."""
 
-    Of sets with two or more empty blocks the empty ones count too; so any two
-    sets over the threshold have at least two digests in common.
-    """
-    n = len(grams)
-    out = []
-    for k in range(bisect_right(bounds, n) - 1, bisect_right(bounds, n * 100 // share)):
-        m = blocks_of(bounds[k + 1] - 1, share)
-        if not m:
-            continue
-        block = shingles.mix(grams + np.uint64(1)) % np.uint64(m)
-        order = np.argsort(block, kind="stable")
-        block, spread = block[order], shingles.mix(grams[order] ^ np.uint64(0x5851F42D4C957F2D))
-        heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums, at = np.add.reduceat(spread, heads), block[heads]
-        if m - len(at) >= 2:
-            gaps = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-            sums, at = np.concatenate([sums, np.zeros(len(gaps), np.uint64)]), np.concatenate([at, gaps])
-        out.append(shingles.mix(sums + shingles.mix(at + np.uint64(k << 32))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    def __init__(self, common: np.ndarray) -> None:
+        self.place = np.argsort(common)
+        self.common = common[self.place]
+
+    def first(self, grams: np.ndarray, share: int) -> np.ndarray:
+        """Of a sorted set, the n-grams one of which every set over the threshold has among its own first ones.
+
+        With ``share`` percent of the union in both, at least ``share`` percent
+        of each set is in both; so all but one n-gram less can be missed.
+        """
+        count = len(grams) + (-len(grams) * share // 100) + 1
+        if not len(grams) or not len(self.common):
+            return grams[:count]
+        at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
+        is_common = self.common[at] == grams
+        rare = grams[~is_common]
+        if len(rare) >= count:
+            return rare[:count]
+        rest = grams[is_common][np.argsort(self.place[at[is_common]])]
+        return np.concatenate([rare, rest[: count - len(rare)]])
 
 
 def digests(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, size, d1, d2, blocks`` per row: the set's size, a digest of it, and its block digests."""
+    """``doc_id, size, d1, d2, first`` per row: the set's size, a digest of it, and its first n-grams."""
     rows = arrow.base(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema = arrow.struct(rows, ["doc_id"], "size long, d1 long, d2 long, blocks array<long>")
+    order = docs.sparkSession.sparkContext.broadcast(Order(common_grams(docs, n, id_col, text_col)))
+    schema = arrow.struct(rows, ["doc_id"], "size long, d1 long, d2 long, first array<long>")
 
     def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, ones, twos, blocks = [], [], [], []
-        bounds = size_classes(1024)
+        sizes, ones, twos, first = [], [], [], []
         for text in arrow.texts(batch):
             grams = shingles.shingle_set(shingles.lower_words(text), n)
-            if 2 * len(grams) >= bounds[-1]:
-                bounds = size_classes(4 * len(grams))
             sizes.append(len(grams))
             ones.append(shingles.mix(grams).sum())
             twos.append(shingles.mix(grams ^ np.uint64(0xD1342543DE82EF95)).sum())
-            blocks.append(block_digests(grams, share, bounds).view(np.int64))
-        ends = np.cumsum([0, *map(len, blocks)]).astype(np.int32)
+            first.append(order.value.first(grams, share).view(np.int64))
+        ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [
                 arrow.col(batch, "doc_id"),
                 pa.array(sizes, pa.int64()),
                 pa.array(np.array(ones, np.uint64).view(np.int64)),
                 pa.array(np.array(twos, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(blocks))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first))),
             ],
             names=schema.fieldNames(),
         )
@@ -116,12 +112,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Each pair ``(p, q)`` with the true overlap accumulated: ``apart``, the n-grams that one of them lacks, and whether they link."""
+    """Each pair ``(p, q)`` with the true overlap accumulated: the n-grams that one of them lacks, and whether they link."""
     p = sets.select(F.col("node").alias("p"), F.col("grams").alias("of_p"))
     q = sets.select(F.col("node").alias("q"), F.col("grams").alias("of_q"))
-    joined = pairs.join(q, "q").join(p, "p").withColumn("apart", F.concat(F.array_except("of_p", "of_q"), F.array_except("of_q", "of_p")))
-    sizes = F.size("of_p") + F.size("of_q")
-    return joined.select("p", "q", F.size("of_p").alias("p_size"), F.size("of_q").alias("q_size"), "apart", (F.size("apart") * (100 + share) <= sizes * (100 - share)).alias("linked"))
+    joined = pairs.join(q, "q").join(p, "p").withColumn("added", F.array_except("of_q", "of_p")).withColumn("lost", F.array_except("of_p", "of_q"))
+    apart, sizes = F.size("added") + F.size("lost"), F.size("of_p") + F.size("of_q")
+    return joined.select("p", "q", F.size("of_p").alias("p_size"), F.size("of_q").alias("q_size"), "added", "lost", (apart * (100 + share) <= sizes * (100 - share)).alias("linked"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -133,8 +129,8 @@ def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
 
     Two documents link if ``share`` percent of the union of their ``n``-word
     shingles are in both. Documents with equal sets are stood for by the least
-    id. Of the others, those that agree on a block are compared with the one
-    among them that agrees with most. Where that leaves several components, the
+    id. Of the others, those that meet in a first column are compared with the
+    one among them that meets most. Where that leaves several components, the
     differences from that middle document tell which others can link, see
     :func:`_rest`. No pair within a component is built for its own sake, and no
     link that joins two components is lost.
@@ -150,12 +146,12 @@ def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     same = some.select("d1", "d2", "doc_id").join(least, ["d1", "d2"]).where("doc_id <> least").select(F.col("doc_id").alias("p"), F.col("least").alias("q"))
 
     lead = some.join(least.withColumnRenamed("least", "doc_id"), ["d1", "d2", "doc_id"], "left_semi")
-    cells = lead.select(F.explode("blocks").alias("block"), F.col("doc_id").alias("node"))
-    shared = scratch.written(runs.scan(cells, ["block"], "node", at_least=2, name="blocks").distinct(), "shared")
+    cells = lead.select(F.explode("first").alias("gram"), F.col("doc_id").alias("node"))
+    shared = scratch.written(runs.scan(cells, ["gram"], "node", at_least=2, name="cells").distinct(), "shared")
 
-    weight = shared.join(shared.groupBy("block").agg(F.count(F.lit(1)).alias("w")), "block").groupBy("node").agg(F.sum("w").alias("w"))
-    middle = shared.join(weight, "node").groupBy("block").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("m"))).alias("x")).select("block", (-F.col("x.m")).alias("p"))
-    star = scratch.written(shared.join(middle, "block").where("node <> p").select("p", F.col("node").alias("q")).distinct(), "star")
+    weight = shared.join(shared.groupBy("gram").agg(F.count(F.lit(1)).alias("w")), "gram").groupBy("node").agg(F.sum("w").alias("w"))
+    middle = shared.join(weight, "node").groupBy("gram").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("m"))).alias("x")).select("gram", (-F.col("x.m")).alias("p"))
+    star = scratch.written(shared.join(middle, "gram").where("node <> p").select("p", F.col("node").alias("q")).distinct(), "star")
     sets = scratch.written(_sets(docs, _ends(star), n, id_col, text_col), "sets")
     compared = scratch.written(_compared(star, sets, share), "compared")
     links = compared.where("linked").select("p", "q")
@@ -169,35 +165,40 @@ def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
     """Pairs in different components that may link, of documents compared with the same middle ``p``.
 
     For sets s and y with differences S and Y from p, s and y are
-    |S| + |Y| - 2 |S & Y| apart. If s doesn't link with p, then S is so large
-    that a link of s and y needs about half of Y in S. So with Y in ascending
-    order of how many differences from p have each n-gram, one of the n-grams in
-    the first half or so is in S: pairs come from those alone.
+    |S| + |Y| - 2 |S & Y| apart, and |S| and |Y| differ by no more than that. One
+    of two documents in different components doesn't link with p, so its S is
+    large. All this bounds |S & Y| from below, so the first n-grams of S and Y,
+    in one order, have one in common: pairs come from those alone. The order has
+    n-grams that p lacks first, by hash, then those of p by how many of the
+    closer differences have them, the rarest first.
     """
     of_p = found.select(F.col("node").alias("p"), F.col("component").alias("p_component"))
     of_q = found.select(F.col("node").alias("q"), F.col("component").alias("q_component"))
-    told = compared.join(of_p, "p", "left").join(of_q, "q", "left")
-    told = told.select("p", "q", "p_size", "q_size", "apart", F.coalesce("p_component", "p").alias("p_component"), F.coalesce("q_component", "q").alias("component")).withColumn("outside", F.expr("component <> p_component"))
-    open_middles = told.where("outside").select("p").distinct()
-    told = told.join(open_middles, "p", "left_semi")
+    told = compared.join(of_p, "p", "left").join(of_q, "q", "left").withColumn("p_component", F.coalesce("p_component", "p")).withColumn("component", F.coalesce("q_component", "q"))
+    told = told.withColumn("outside", F.expr("component <> p_component")).drop("q_component", "p_component", "linked")
+    told = told.join(told.where("outside").select("p").distinct(), "p", "left_semi")
 
     ratio = (100 - share) / (100 + share)
-    distance = F.size("apart")
-    needed = F.greatest(F.lit(1), F.ceil((distance + (F.col("p_size") - F.col("q_size")) * ratio) / 2 - 1e-9))
-    grams = told.select("p", "q", "outside", (distance - needed + 1).alias("first"), distance.alias("distance"), F.explode("apart").alias("gram"))
-    often = grams.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
-    grams = grams.join(often, ["p", "gram"])
-    own = Window.partitionBy("p", "q")
-    rank = F.row_number().over(own.orderBy("often", "gram")) + F.col("distance") - F.count(F.lit(1)).over(own)
-    grams = scratch.written(grams.withColumn("rank", rank).select("p", "q", "gram", "outside", (F.col("rank") <= F.col("first")).alias("early")), "grams")
-
-    s = grams.where("outside").select("p", "gram", F.col("q").alias("s"))
-    y = grams.where("early").select("p", "gram", F.col("q").alias("y"))
-    pairs = s.join(y, ["p", "gram"]).where("s <> y").select(F.least("s", "y").alias("a"), F.greatest("s", "y").alias("b")).distinct()
-    told_a = told.select(F.col("q").alias("a"), F.col("q_size").alias("a_size"), F.col("component").alias("a_component")).distinct()
-    told_b = told.select(F.col("q").alias("b"), F.col("q_size").alias("b_size"), F.col("component").alias("b_component")).distinct()
-    fits = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * share
-    return pairs.join(told_a, "a").join(told_b, "b").where(fits & F.expr("a_component <> b_component")).select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
+    distance = F.size("added") + F.size("lost")
+    reach = F.floor(F.col("q_size") * (1 + 100 / share) * ratio + 1e-9)
+    half = F.ceil((distance + (F.col("p_size") - F.col("q_size")) * ratio) / 2 - 1e-9)
+    needed = F.greatest(F.lit(1), distance - reach, F.when(~F.col("outside"), half).otherwise(F.lit(1)))
+    told = told.withColumn("count", (distance - needed + 1).cast("int")).where("count > 0")
+    keep = ["p", "q", "q_size", "component", "outside"]
+    early = told.select(*keep, F.explode(F.slice(F.sort_array("added"), F.lit(1), F.col("count"))).alias("gram"))
+    close = told.withColumn("left", F.col("count") - F.size("added")).where("left > 0").select(*keep, "left", F.explode("lost").alias("gram"))
+    often = close.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("p", "q").orderBy("often", "gram"))
+    late = close.join(often, ["p", "gram"]).withColumn("rank", rank).where("rank <= left").select(*keep, "gram")
+    grams = scratch.written(early.unionByName(late), "grams")
+
+    often = grams.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("p", "gram")
+    grams = grams.join(often, ["p", "gram"], "left_semi")
+    s = grams.where("outside").select("p", "gram", *(F.col(c).alias(f"s_{c}") for c in ("q", "q_size", "component")))
+    y = grams.select("p", "gram", *(F.col(c).alias(f"y_{c}") for c in ("q", "q_size", "component")))
+    fits = F.least("s_q_size", "y_q_size") * 100 >= F.greatest("s_q_size", "y_q_size") * share
+    pairs = s.join(y, ["p", "gram"]).where(F.expr("s_component <> y_component") & fits)
+    return pairs.select(F.least("s_q", "y_q").alias("p"), F.greatest("s_q", "y_q").alias("q")).distinct()
 
 
 def classes(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
