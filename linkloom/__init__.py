@@ -1,0 +1 @@
+"""Link prediction and graph analytics on Spark DataFrames."""

@@ -1,0 +1 @@
+"""Batch only: there is no streaming source, sink or operator to express here."""
