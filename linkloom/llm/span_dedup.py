@@ -130,7 +130,7 @@ def remove(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     wanted = shared.groupBy("doc", "version").agg(F.collect_set("anchor").alias("anchors"))
     texts = scratch.written(rows.drop("doc_id").join(wanted, ["doc", "version"]).dropDuplicates(["doc", "version"]), "texts")
 
-    stretches = scratch.written(runs.scan(_stretches(texts, window), ["anchor", "digest"], "doc", flag=True, name="stretches"), "flagged")
+    stretches = runs.scan(scratch.written(_stretches(texts, window), "stretches"), ["anchor", "digest"], "doc", flag=True, name="flagged")
     later = stretches.where("_later").select("doc", "version", "start", F.size("hashes").alias("n"))
     first = stretches.where("not _later").select("anchor", "doc", "version", F.posexplode("hashes").alias("i", "hash"), "start")
     single = runs.scan(first, ["anchor", "hash"], "doc", later=True, name="windows").select("doc", "version", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
