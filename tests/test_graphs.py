@@ -1,0 +1,146 @@
+"""Small graphs with known answers, and random ones against plain matrix formulas."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.operators import candidates, features, graph, report, similarity
+from linkloom.sources import graphs
+
+PATH = [(0, 1), (1, 2), (2, 3)]
+TRIANGLE = [(0, 1), (1, 2), (0, 2)]
+STAR = [(0, i) for i in (1, 2, 3, 4)]
+BARBELL = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5)]
+
+
+def edges(spark, pairs):
+    return spark.createDataFrame(pairs, "src long, dst long")
+
+
+def told(spark, pairs):
+    return {(r.i, r.j): (r.common, r.total, r.similarity, r.adj) for r in similarity.pairs(edges(spark, pairs)).collect()}
+
+
+def test_triangle_path_and_star(spark):
+    assert set(told(spark, TRIANGLE).values()) == {(1, 1, 1.0, 1)}
+    got = told(spark, PATH)
+    assert got[0, 2] == (1, 2, 0.5, 0) and got[1, 3] == (1, 2, 0.5, 0)
+    assert {got[p][2] for p in PATH} == {0.0} and (0, 3) not in got
+    star = told(spark, STAR)
+    assert star[0, 1] == (0, 3, 0.0, 1)
+    assert [v for k, v in star.items() if 0 not in k] == [(1, 1, 1.0, 0)] * 6
+
+
+def test_isolated_linked_pair_is_zero(spark):
+    assert told(spark, [(0, 1)]) == {(0, 1): (0, 0, 0.0, 1)}
+
+
+def test_self_loops_follow_the_matrix(spark):
+    loops = graph.canonical(edges(spark, [(0, 0), (1, 0), (1, 2)]), keep_loops=True)
+    assert {r.node: r.degree for r in graph.degrees(loops).collect()} == {0: 2, 1: 2, 2: 1}
+    assert {r.node: r.degree for r in graph.incident_degrees(loops).collect()} == {0: 3, 1: 2, 2: 1}
+    got = {(r.i, r.j): (r.common, r.total, r.similarity) for r in similarity.pairs(loops).collect()}
+    assert got == {(0, 1): (1, 1, 1.0), (0, 2): (1, 2, 0.5), (1, 2): (0, 1, 0.0)}
+    assert {(r.src, r.dst) for r in graph.canonical(loops).collect()} == {(0, 1), (1, 2)}
+
+
+def test_barbell(spark):
+    got = told(spark, BARBELL)
+    assert got[0, 1] == (1, 1, 1.0, 1) and got[4, 5] == (1, 1, 1.0, 1)
+    assert {got[p][2] for p in ((0, 2), (1, 2), (3, 4), (3, 5))} == {0.5}
+    assert got[2, 3] == (0, 4, 0.0, 1) and {got[p][2] for p in ((0, 3), (1, 3), (2, 4), (2, 5))} == {0.25}
+    pairs = similarity.pairs(edges(spark, BARBELL)).cache()
+    assert similarity.thresholds(pairs).first().asDict() == {"weak": 0.875, "strong": 1.0}
+    assert graph.degree_threshold(edges(spark, BARBELL)).first()["quantile"] == 2.0
+    four = {(0, 3), (1, 3), (2, 4), (2, 5)}
+    for clusters, weak, strong, want in (([0, 0, 0, 1, 1, 1], 0.25, 0.25, set()), ([0] * 6, 0.25, 0.25, four), ([-1] * 6, 0.25, 0.25, set()), ([-1] * 6, 0.25, 0.2, four)):
+        own = spark.createDataFrame(list(enumerate(clusters)), "node long, cluster int")
+        assert {(r.i, r.j) for r in candidates.candidates(pairs, own, weak, strong).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_graphs_against_matrices(spark, seed):
+    pick = random.Random(seed)
+    n = 60
+    pairs = sorted({tuple(sorted(pick.sample(range(n), 2))) for _ in range(180)})
+    a = np.zeros((n, n), int)
+    for i, j in pairs:
+        a[i, j] = a[j, i] = 1
+    common = a @ a
+    total = a.sum(0)[:, None] + a.sum(0)[None, :] - common - 2 * a
+    got = told(spark, pairs)
+    for i in range(n):
+        for j in range(i + 1, n):
+            if common[i, j] or a[i, j]:
+                want = 0.0 if total[i, j] == 0 else common[i, j] / total[i, j]
+                assert got.pop((i, j)) == (common[i, j], total[i, j], want, a[i, j])
+    assert not got
+
+
+def test_ball_completion_and_pruning(spark):
+    links = spark.createDataFrame([("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "a"), ("d", "s")], "src string, dst string")
+    ball = graph.ball(links, "s", 2).cache()
+    assert {(r.node, r.bfs_depth, r.parent) for r in ball.collect()} == {("s", 0, None), ("a", 1, "s"), ("b", 1, "s"), ("c", 2, "a")}
+    whole = graph.complete(ball, links, links.where("dst <> 'b'"))
+    assert {(r.src, r.dst) for r in whole.collect()} == {("a", "s"), ("a", "c"), ("b", "c")}
+    assert graph.ball(links, "nowhere", 3).count() == 1
+    assert {r.node for r in graph.unfetched(ball, links.select(F.col("src").alias("node"))).collect()} == set()
+    assert graph.prune(edges(spark, STAR + [(1, 2), (1, 3), (2, 3)]), min_links=15).count() == 6
+    assert graph.prune(edges(spark, []), 15).count() == 0
+    assert graph.prune(edges(spark, STAR + [(1, 2), (1, 3), (2, 3)]), min_links=1).count() == 7
+
+
+def test_index_is_dense_and_ordered(spark):
+    df = spark.range(0, 500, 7).repartition(6)
+    got = sorted((r["id"], r["index"]) for r in graph.with_index(df, "id").collect())
+    assert got == [(v, k) for k, v in enumerate(range(0, 500, 7))]
+
+
+def test_drawn_pairs_leave_candidates_out(spark):
+    nodes = spark.range(5).select(F.col("id").alias("node"))
+    out = spark.createDataFrame([(0, 1), (2, 3)], "i long, j long")
+    drawn = {(r.i, r.j) for r in features.sample_pairs(spark, nodes, out, 400).collect()}
+    assert (0, 1) not in drawn and (1, 0) in drawn and (2, 2) in drawn
+    both = {(r.i, r.j) for r in features.sample_pairs(spark, nodes, out, 400, symmetric_exclusion=True).collect()}
+    assert not both & {(0, 1), (1, 0), (2, 3), (3, 2)}
+
+
+def test_features_of_unstored_and_own_pairs(spark):
+    graph_edges = edges(spark, PATH)
+    known = spark.createDataFrame([(i, f"t{i}", ["x", f"c{i}"], i % 2) for i in range(4)], "node long, title string, cats array<string>, cluster int")
+    asked = spark.createDataFrame([(0, 3), (1, 0), (2, 2)], "i long, j long")
+    got = {(r.node_1, r.node_2): r for r in features.build(asked, known, graph_edges, similarity.pairs(graph_edges), True).collect()}
+    assert list(got["t0", "t3"].asDict()) == features.COLUMNS
+    assert (got["t0", "t3"].total_neighbors, got["t0", "t3"].link, got["t0", "t3"].common_categories, got["t0", "t3"].total_categories) == (2, 0, 1, 3)
+    assert got["t1", "t0"].link == 1 and got["t2", "t2"].total_neighbors == 1
+    assert "link" not in features.build(asked, known, graph_edges, similarity.pairs(graph_edges), False).columns
+
+
+def test_reports(spark):
+    rows = [(0, 1, "a", "b", 0.9, 0.1, 0, 0), (0, 2, "a", "c", 0.5, 0.2, 0, -1), (1, 2, "b", "c", 0.7, 0.2, 0, -1), (2, 3, "c", "d", 0.8, 0.1, -1, -1)]
+    scored = spark.createDataFrame(rows, "i long, j long, node_1 string, node_2 string, link_probability double, similarity double, cluster_node_1 int, cluster_node_2 int")
+    ids = lambda df: [(r.i, r.j) for r in df.collect()]
+    assert ids(report.overall(scored)) == [(0, 1), (2, 3), (1, 2)]
+    assert ids(report.of_cluster(scored, 0)) == [(0, 1), (1, 2)] and ids(report.of_cluster(scored, None)) == []
+    assert ids(report.of_node(scored, "b")) == [(0, 1), (1, 2)]
+    assert ids(report.across_clusters(scored)) == [(1, 2)]
+
+
+def test_files(spark, tmp_path):
+    path = f"{tmp_path}/g.gexf"
+    graphs.write_gexf(spark.createDataFrame([("a & b", "c"), ("c", "d")], "src string, dst string"), path)
+    assert {(r.src, r.dst) for r in graphs.read_gexf(spark, path).collect()} == {("a & b", "c"), ("c", "d")}
+    calls = []
+
+    def build():
+        calls.append(1)
+        return {"edges": edges(spark, PATH), "nodes": spark.range(4)}
+
+    for _ in range(2):
+        found = graphs.cached_graph(spark, str(tmp_path), "a/b: c", 2, build)
+        assert {(r.src, r.dst) for r in found["edges"].collect()} == set(PATH) and found["nodes"].count() == 4
+    assert calls == [1]
+    page = spark.createDataFrame([(1, '<a href="/x">1</a><a href="/y">'), (2, "none")], "page_id long, html string")
+    assert [(r.title, r.links) for r in graphs.link_lists(graphs.page_links(page)).collect()] == [(1, ["/x", "/y"])]
