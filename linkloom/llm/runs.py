@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm import scratch
+from linkloom import scratch
 
 #: What a streamed row stands for.
 _SURE, _PENDING, _SUMMARY, _FIRST = 0, 1, 2, 3
@@ -131,12 +131,9 @@ def scan(rows: DataFrame, keys: list[str], item: str, at_least: int = 2, later:
         yield from _Streamer(names, keys, item, at_least, later, flag).run(batches)
 
     streamed = scratch.written(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(run, schema), name)
-    # at most two rows a partition
+    # at most two rows a partition; every row passes it, so that a hot key's rows take no way of their own
     open_runs = streamed.where(F.col("_kind") == _SUMMARY).groupBy(*keys).agg(F.sum("_count").alias("_n"), F.min("_least").alias("_low"))
-    sure = streamed.where(F.col("_kind") == _SURE).select(*names)
-    pending = streamed.where(F.col("_kind") == _PENDING).select(*names).join(F.broadcast(open_runs), keys)
-    if flag:
-        told = pending.withColumn("_later", F.col(item) != F.col("_low")).select(*names, "_later")
-        return sure.withColumn("_later", F.lit(True)).unionByName(streamed.where(F.col("_kind") == _FIRST).select(*names).withColumn("_later", F.lit(False))).unionByName(told)
-    settled = pending.where(F.col(item) != F.col("_low")) if later else pending.where(F.col("_n") >= at_least)
-    return sure.unionByName(settled.select(*names))
+    told = streamed.where(F.col("_kind") != _SUMMARY).drop("_count", "_least").join(F.broadcast(open_runs), keys, "left")
+    settled = F.col(item) != F.col("_low") if later else F.col("_n") >= at_least
+    wanted = F.when(F.col("_kind") == _PENDING, settled).otherwise(F.col("_kind") == _SURE)
+    return told.select(*names, wanted.alias("_later")) if flag else told.where(wanted).select(*names)
