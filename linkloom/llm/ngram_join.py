@@ -1,11 +1,12 @@
 """Jaccard join of documents by a blocked product of the document by n-gram matrix.
 
-The n-gram columns have one global order, common ones last. By its size, a row
-can only reach the threshold with another if they meet in its first columns; a
-product over that block of columns alone yields the cells worth computing. For
-these the whole overlap is accumulated, and what falls below the bound that the
-two sizes set is discarded. The cells of a column go through one middle row, so
-a common column costs as many cells as it has rows, not their square.
+The columns of the matrix are dealt into blocks by hash. A first pass over the
+blocks accumulates, for each row, how many of its columns any other row has; a
+row for which that is below the bound that its size sets can't reach the
+threshold with any row, and is discarded. Of the few rows left, those are
+compared that meet in one of their first columns, the rarest first. The cells of
+a column go through one middle row, so a common column costs as many cells as it
+has rows, not their square.
 """
 
 from __future__ import annotations
@@ -15,88 +16,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm import arrow, runs, scratch, shingles
+from linkloom import scratch
+from linkloom.llm import arrow, runs, shingles
 from linkloom.llm.components import components
 
-#: N-grams in more than this share of a slice's documents are common; they come last in the order.
-COMMON_SHARE = 0.002
-#: The most common n-grams that are put last, so that their list can be broadcast.
-COMMON_GRAMS = 50_000
+#: N-grams of one block of columns, on average.
+BLOCK_GRAMS = 200_000
 #: The most documents whose ids are sent to every task; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
+#: Bytes of a hash that tell columns of one block, or rows, apart; that two rows look like one is as likely as 2^-40.
+_SHORT = 5
 
 
-def common_grams(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Hashes of n-grams that many documents have, the rarest first, at most ``COMMON_GRAMS``; each slice of all documents reports its own.
+def _digest(grams: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums that tell sets apart."""
+    return shingles.mix(grams).sum(), shingles.mix(grams ^ np.uint64(0xD1342543DE82EF95)).sum()
 
-    Any list gives the same links; a good one has rows meet in fewer columns by chance.
-    """
 
-    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles.shingle_set(shingles.lower_words(t), n) for t in arrow.texts(batch)]
-        grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= max(3, COMMON_SHARE * len(sets))
-        return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often])], names=["gram", "n"])
-
-    found = arrow.map_text(arrow.base(docs, id_col, text_col).select("text"), of_slice, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS).select("gram").collect()
-    return np.array([r.gram for r in reversed(top)], np.int64).view(np.uint64)
-
-
-class Order:
-    """The global order of n-grams: by hash, then the common ones as listed."""
-
-    def __init__(self, common: np.ndarray) -> None:
-        self.place = np.argsort(common)
-        self.common = common[self.place]
-
-    def first(self, grams: np.ndarray, share: int) -> np.ndarray:
-        """Of a sorted set, the n-grams one of which every set over the threshold has among its own first ones.
-
-        With ``share`` percent of the union in both, at least ``share`` percent
-        of each set is in both; so all but one n-gram less can be missed.
-        """
-        count = len(grams) + (-len(grams) * share // 100) + 1
-        if not len(grams) or not len(self.common):
-            return grams[:count]
-        at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
-        is_common = self.common[at] == grams
-        rare = grams[~is_common]
-        if len(rare) >= count:
-            return rare[:count]
-        rest = grams[is_common][np.argsort(self.place[at[is_common]])]
-        return np.concatenate([rare, rest[: count - len(rare)]])
-
-
-def digests(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, size, d1, d2, first`` per row: the set's size, a digest of it, and its first n-grams."""
+def digests(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, size, d1, d2`` per row: the set's size and a digest of it."""
     rows = arrow.base(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    order = docs.sparkSession.sparkContext.broadcast(Order(common_grams(docs, n, id_col, text_col)))
-    schema = arrow.struct(rows, ["doc_id"], "size long, d1 long, d2 long, first array<long>")
+    schema = arrow.struct(rows, ["doc_id"], "size long, d1 long, d2 long")
 
     def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, ones, twos, first = [], [], [], []
-        for text in arrow.texts(batch):
-            grams = shingles.shingle_set(shingles.lower_words(text), n)
-            sizes.append(len(grams))
-            ones.append(shingles.mix(grams).sum())
-            twos.append(shingles.mix(grams ^ np.uint64(0xD1342543DE82EF95)).sum())
-            first.append(order.value.first(grams, share).view(np.int64))
-        ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                arrow.col(batch, "doc_id"),
-                pa.array(sizes, pa.int64()),
-                pa.array(np.array(ones, np.uint64).view(np.int64)),
-                pa.array(np.array(twos, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first))),
-            ],
-            names=schema.fieldNames(),
-        )
+        sets = [shingles.shingle_set(shingles.lower_words(t), n) for t in arrow.texts(batch)]
+        sums = np.array([_digest(s) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([arrow.col(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], names=schema.fieldNames())
 
     return arrow.map_text(rows, of_slice, schema)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The low bytes of 64-bit numbers."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :_SHORT].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // _SHORT, 8), np.uint8)
+    wide[:, :_SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, _SHORT)
+    return wide.view("<i8").ravel()
+
+
+def _incidence(docs: DataFrame, n: int, blocks: int, text_col: str) -> DataFrame:
+    """The matrix, a row for each slice of documents and block of columns.
+
+    ``grams`` are the block's columns in the slice, ``at`` the one distinct row
+    that has each, or the number of rows if several do, ``nodes`` the distinct
+    rows. A row without ``grams`` has in ``at`` each distinct row's count of
+    columns that another row of the slice has.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+
+    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = {}
+        for text in arrow.texts(batch):
+            grams = shingles.shingle_set(shingles.lower_words(text), n)
+            if len(grams):
+                sets.setdefault(int(_digest(grams)[0].view(np.int64)), grams)
+        if not sets:
+            return None
+        nodes, own = np.array(list(sets), np.int64), np.concatenate(list(sets.values()))
+        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
+        grams, place, counts = np.unique(own, return_inverse=True, return_counts=True)
+        local = np.bincount(at[counts[place] > 1], minlength=len(nodes))
+        holder = np.empty(len(grams), np.int64)
+        holder[place] = at
+        holder[counts > 1] = len(nodes)
+        block = (shingles.mix(grams) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+        out = [(int(nodes[0]) % blocks, b"", local.astype(np.uint32).tobytes(), _packed(nodes))]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = order[cuts[k] : cuts[k + 1]]
+            used, short = np.unique(holder[part], return_inverse=True)
+            out.append((k, _packed(grams[part].view(np.int64)), short.astype(np.uint16).tobytes(), _packed(nodes[used[:-1] if used[-1] == len(nodes) else used])))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[c] for x in out], pa.binary()) for c in (1, 2, 3))], names=["block", "grams", "at", "nodes"])
+
+    return arrow.map_text(rows, of_slice, "block long, grams binary, at binary, nodes binary")
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """For one block, each row's count of columns that another row has; and the counts that slices knew themselves."""
+    grams, rows, known, nodes, counts = [], [], [], [], []
+    for g, a, v in zip(table["grams"].to_pylist(), table["at"].to_pylist(), table["nodes"].to_pylist()):
+        own = _unpacked(v)
+        if not g:
+            nodes.append(own)
+            counts.append(np.frombuffer(a, np.uint32).astype(np.int64))
+            continue
+        short = np.frombuffer(a, np.uint16)
+        grams.append(_unpacked(g))
+        known.append(short < len(own))
+        rows.append(np.append(own, 0)[short])
+    if grams:
+        gram, row, single = np.concatenate(grams), np.concatenate(rows), np.concatenate(known)
+        order = np.lexsort((row, single, gram))
+        gram, row, single = gram[order], row[order], single[order]
+        heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(gram))))
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]) | (single[1:] != single[:-1])])
+        distinct = np.bincount(place[new], minlength=len(heads))
+        several = ~single[heads]  # sorted first: some slice has it in several rows
+        some, met = np.unique(row[single & new & (several | (distinct > 1))[place]], return_counts=True)
+        nodes.append(some)
+        counts.append(met.astype(np.int64))
+    return pa.table({"short": pa.array(np.concatenate(nodes)), "met": pa.array(np.concatenate(counts))})
+
+
+def _left(docs: DataFrame, rows: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
+    """``d1, met`` of the sets that have enough columns in common with others, taken together.
+
+    A row can be counted more than once for a column that several slices have
+    with other copies of it, never less; so none that links is discarded.
+    """
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    matrix = _incidence(docs, n, max(1, -(-total // BLOCK_GRAMS)), text_col)
+    met = matrix.groupBy("block").applyInArrow(_met, "short long, met long").groupBy("short").agg(F.sum("met").alias("met"))
+    sizes = rows.where("size > 0").groupBy("d1").agg(F.min("size").alias("size")).withColumn("short", F.col("d1").bitwiseAND(F.lit((1 << 8 * _SHORT) - 1)))
+    return sizes.join(met, "short").where(F.col("met") * 100 >= F.col("size") * share).select("d1")
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """``node, grams`` of the documents in ``nodes``; their ids are broadcast only if few."""
     rows = arrow.base(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -140,19 +179,18 @@ def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     linked where any of its texts is. Repeated rows, empty tables and other
     columns are harmless.
     """
-    rows = scratch.written(digests(docs, n, share, id_col, text_col), "digests")
+    rows = scratch.written(digests(docs, n, id_col, text_col), "digests")
     some = rows.where("size > 0 and doc_id is not null")
     least = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     same = some.select("d1", "d2", "doc_id").join(least, ["d1", "d2"]).where("doc_id <> least").select(F.col("doc_id").alias("p"), F.col("least").alias("q"))
 
-    lead = some.join(least.withColumnRenamed("least", "doc_id"), ["d1", "d2", "doc_id"], "left_semi")
-    cells = lead.select(F.explode("first").alias("gram"), F.col("doc_id").alias("node"))
-    shared = scratch.written(runs.scan(cells, ["gram"], "node", at_least=2, name="cells").distinct(), "shared")
+    left = scratch.written(least.join(_left(docs, rows, n, share, text_col), "d1", "left_semi").select(F.col("least").alias("node")).distinct(), "left")
+    sets = scratch.written(_sets(docs, left, n, id_col, text_col), "sets")
+    shared = scratch.written(_first_columns(sets, share), "shared")
 
-    weight = shared.join(shared.groupBy("gram").agg(F.count(F.lit(1)).alias("w")), "gram").groupBy("node").agg(F.sum("w").alias("w"))
+    weight = shared.groupBy("node").agg(F.sum("often").alias("w"))
     middle = shared.join(weight, "node").groupBy("gram").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("m"))).alias("x")).select("gram", (-F.col("x.m")).alias("p"))
     star = scratch.written(shared.join(middle, "gram").where("node <> p").select("p", F.col("node").alias("q")).distinct(), "star")
-    sets = scratch.written(_sets(docs, _ends(star), n, id_col, text_col), "sets")
     compared = scratch.written(_compared(star, sets, share), "compared")
     links = compared.where("linked").select("p", "q")
 
@@ -161,6 +199,23 @@ def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     return rows.select("doc_id", "size"), components(links.unionByName(more).unionByName(same), "p", "q")
 
 
+def _first_columns(sets: DataFrame, share: int) -> DataFrame:
+    """``gram, node, often`` of each set's first columns, the rarest first, that other sets have too.
+
+    With ``share`` percent of the union in both, at least ``share`` percent of
+    each set is in both; so one of a set's first columns, one more than it can
+    lack, is among the other's first. Columns of one row come before all others.
+    """
+    cells = sets.select("node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    shared = scratch.written(runs.scan(cells, ["gram"], "node", at_least=2, name="cells").distinct(), "cells")
+    often = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    own = Window.partitionBy("node")
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    rank = F.row_number().over(own.orderBy("often", "gram")) + alone
+    first = F.col("size") - F.ceil(F.col("size") * share / 100 - 1e-9) + 1
+    return shared.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= first).select("gram", "node", "often")
+
+
 def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
     """Pairs in different components that may link, of documents compared with the same middle ``p``.
 
