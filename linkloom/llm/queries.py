@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality, secret_scan, span_dedup, token_counts, token_files
+from linkloom.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality, secret_scan, span_dedup, sql, token_counts, token_files
 
 # Fixed values of the contracts.
 LINE_MIN_DOCS = 10
@@ -73,4 +73,5 @@ QUERIES = {
         op10_ngram_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other contracts need a tokenizer, positions of matches or a parser, which SQL lacks.
+ORACLE_SQL = {"op5_quality_rules": sql.OP5, "op7_line_dedup": sql.OP7, "op8_span_dedup": sql.OP8, "op10_ngram_join": sql.OP10}
