@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm import arrow, scratch
+from linkloom import scratch
+from linkloom.llm import arrow
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -32,10 +33,10 @@ _SCOPES = frozenset("table ul ol dl div section article main body td th aside na
 _DROPPED_TAGS = frozenset("nav footer aside form button select menu dialog template svg math canvas object audio video head".split())
 #: A class, id or role with one of these words is not the article.
 _DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline caption comment comments commentlist cookie cookies consent copyright credits dialog disclaimer disqus feedback footer footnav form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright dialog disqus footer footnav form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe subscription".split()
 )
 #: The same for what stands outside an article.
-_HEADER_WORDS = frozenset("header head top".split())
+_HEADER_WORDS = frozenset(["header"])
 #: Path components that tell containers of a host apart; a longer path counts by its end.
 PATH_DEPTH = 10
 #: Paths kept for each host, best first.
