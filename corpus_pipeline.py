@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality, scratch
+from linkloom import scratch
+from linkloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 
 #: Words in a shingle and percent of the union, for one document of each group.
 NEAR_WORDS, NEAR_SHARE = 5, 80
