@@ -53,6 +53,6 @@ def test_entry(spark):
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
     for part in ("__spark_entry__.py", "linkloom"):
         (shutil.copytree if (ROOT / part).is_dir() else shutil.copy)(ROOT / part, tmp_path / part)
-    shutil.rmtree(tmp_path / "linkloom/llm")
+    shutil.rmtree(tmp_path / "linkloom/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'jaccard' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
