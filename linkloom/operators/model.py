@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkloom.scratch import written
+
 # The grid, the split and the seeds.
 GRID = {"n_estimators": [100, 200], "max_depth": [3, 5, 7], "alpha": [0, 0.1]}
 TEST_SHARE, SPLIT_SEED, FOLD_SEED = 0.3, 42, 1
@@ -162,11 +164,19 @@ def metrics(df: DataFrame, label: str = "link", predicted: str = "predicted") ->
 
 
 def roc_curve(df: DataFrame, score: str, label: str = "link") -> DataFrame:
-    """``threshold, tp, fp, tpr, fpr`` at each distinct score, from counts by score; rates are 0 without a base."""
+    """``threshold, tp, fp, tpr, fpr`` at each distinct score; rates are 0 without a base.
+
+    Counts by score are dealt by ranges of the score; each range adds up its
+    own, and the sums before it come from a row for each range.
+    """
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.expr(f"cast(`{label}` = 1 as bigint)")).alias("p"), F.sum(F.expr(f"cast(`{label}` = 0 as bigint)")).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = by.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("ps"), F.sum("n").over(whole).alias("ns"))
+    ranged = written(by.repartitionByRange(F.desc("threshold")).withColumn("part", F.spark_partition_id()), "scores")
+    totals = ranged.groupBy("part").agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    before, whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = totals.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("ps", "ns")), *(F.sum(c).over(whole).alias(c) for c in ("ps", "ns")))
+    down = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).join(F.broadcast(earlier), "part")
+    run = run.withColumn("tp", F.col("tp") + F.col("ps_before")).withColumn("fp", F.col("fp") + F.col("ns_before"))
     return run.select("threshold", "tp", "fp", F.expr("case when ps = 0 then 0D else tp / ps end").alias("tpr"), F.expr("case when ns = 0 then 0D else fp / ns end").alias("fpr"))
 
 
