@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from linkloom.llm import arrow, segments
 
 _NONE = np.int64(1) << 40
+#: Text whose new segments are merged together; each byte of them takes about a hundred bytes meanwhile.
+SLICE_BYTES = 2 << 20
 
 
 class MergeTable:
@@ -190,7 +192,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         ids, bounds = codec(rank_file, pattern).encode(arrow.texts(batch))
         return pa.RecordBatch.from_arrays([arrow.col(batch, "doc_id"), segments.ids_column(ids, bounds)], names=schema.fieldNames())
 
-    return arrow.map_text(rows, of_slice, schema)
+    return arrow.map_text(rows, of_slice, schema, limit=SLICE_BYTES)
 
 
 def decode(tokens: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -238,4 +240,4 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[str, ...]
             names=schema.fieldNames(),
         )
 
-    return arrow.map_text(rows, of_slice, schema)
+    return arrow.map_text(rows, of_slice, schema, limit=SLICE_BYTES)

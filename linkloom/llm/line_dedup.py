@@ -142,6 +142,7 @@ def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col:
             new = [None if t is None else _kept(t, k)[0] for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+        arrow.task_ends()
 
     out = joined.mapInArrow(run, schema)
     return out if chars_col is None else out.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType))

@@ -152,6 +152,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, sample: int =
             out = batch.filter(pa.array([verdict(Document(t.as_py()), rules) is None for t in batch.column(at)], pa.bool_()))
             if out.num_rows:
                 yield out
+        arrow.task_ends()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm import arrow, scratch
+from linkloom import scratch
+from linkloom.llm import arrow
 
 # The base patterns, with their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -99,6 +100,7 @@ def scan(docs: DataFrame, owner_col: str | None = "source", id_col: str = "doc_i
                 [arrow.col(batch, "doc_id"), pa.array(own, pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(found, kind)],
                 names=schema.fieldNames(),
             )
+        arrow.task_ends()
 
     first = scratch.written(rows.mapInArrow(run, schema), "secrets")
     spans = first.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")

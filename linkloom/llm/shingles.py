@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from linkloom.llm import arrow
+
 #: Words a Python worker remembers the hash of.
 MEMO_WORDS = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -19,6 +21,7 @@ class _Hashes(dict):
 
 
 _memo = _Hashes()
+arrow.at_task_end(_memo.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
