@@ -14,13 +14,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+
+from linkloom.llm import arrow
 
 _CUT = re.compile(r"(?<=\S) ")
 _SPACES = re.compile(r"\s\s|\A\s")
 #: Distinct segments that are encoded as one text.
 JOINED = 512
 #: Segments a Python worker remembers; the memo starts anew beyond that.
-MEMO_SEGMENTS = 250_000
+MEMO_SEGMENTS = 120_000
+#: The same where their hashes are remembered instead.
+LIBRARY_SEGMENTS = 1_000_000
 
 
 def segments(text: str) -> list[str]:
@@ -33,14 +38,9 @@ def segments(text: str) -> list[str]:
 
 def joined(parts: list[str]) -> list[str]:
     """The parts in order as few texts, joined only where the pattern cuts anyway."""
-    groups: list[list[str]] = [[]]
-    for part in parts:
-        if len(groups[-1]) >= JOINED or (part[0] != " " and groups[-1]):
-            groups.append([])
-        groups[-1].append(part)
-        if part[-1].isspace():
-            groups.append([])
-    return ["".join(g) for g in groups if g]
+    edges = {k for k, p in enumerate(parts) if p[0] != " "} | {k + 1 for k, p in enumerate(parts) if p[-1].isspace()}
+    cuts = sorted(edges | set(range(0, len(parts), JOINED)) | {len(parts)})
+    return ["".join(parts[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 class _Index(dict):
@@ -62,6 +62,7 @@ class SegmentEncoder:
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_SEGMENTS) -> None:
         self._encode, self._limit = encode, limit
         self._reset()
+        arrow.at_task_end(self._reset)
 
     def _reset(self) -> None:
         self.index = _Index()
@@ -91,6 +92,101 @@ class SegmentEncoder:
         return ids, np.concatenate([[0], ends])[bounds]
 
 
+def byte_cuts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where segments start in the bytes of texts that start at ``texts``: as :func:`segments`, or fewer cuts.
+
+    No cut is made after a character of three bytes that might be white space.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(data == 32)
+    at = at[at > 0]
+    before = data[at - 1]
+    good = (before > 32) & (before != 127)
+    wide = before >= 128
+    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    good &= ~(wide & (two == 0xC2) & ((before == 0x85) | (before == 0xA0)))
+    good &= ~(wide & (three >= 0xE1) & (three <= 0xE3) & (two >= 0x80))
+    return np.union1d(at[good], texts[texts < len(data)])
+
+
+class HashedEncoder:
+    """Like :class:`SegmentEncoder`, with the memo's keys hashed column by column.
+
+    A key is two sums of bytes times random odd numbers for their places, and
+    the length: two segments of one length have the same key once in 2^112.
+    The memo holds numbers only, a sixth of what strings take.
+    """
+
+    #: Bytes that are hashed at once, and the longest segment that is.
+    STEP, LONGEST = 1 << 20, 2048
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int) -> None:
+        self._encode, self._limit = encode, limit
+        own = np.random.default_rng(20240501)
+        self._weights = own.integers(0, 1 << 63, (2, self.LONGEST), np.uint64) * np.uint64(2) + np.uint64(1)
+        self._reset()  # the memo outlives tasks: it takes 45 MB at most
+
+    def _reset(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.lens, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty((2, len(starts)), np.uint64)
+        blocks = np.searchsorted(starts, np.arange(starts[0], starts[-1] + self.STEP, self.STEP))
+        for a, b in zip(blocks, np.append(blocks[1:], len(starts))):
+            if a == b:
+                continue
+            short = sizes[a:b] <= self.LONGEST
+            lo, n = starts[a:b][short], sizes[a:b][short]
+            if len(lo):
+                heads = np.cumsum(n) - n
+                place = np.arange(int(n.sum())) - np.repeat(heads, n)
+                values = data[place + np.repeat(lo, n)].astype(np.uint64) + np.uint64(1)
+                for k in range(2):
+                    out[k, a:b][short] = np.add.reduceat(self._weights[k][place] * values, heads) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for i in np.flatnonzero(~short).tolist():
+                digest = xxhash.xxh3_128_intdigest(data[starts[a + i] : starts[a + i] + sizes[a + i]].tobytes())
+                out[:, a + i] = digest >> 64, digest & ((1 << 64) - 1)
+        return out[0], out[1]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and where each text's ids start (one more entry than texts)."""
+        raws = [t.encode() for t in texts]
+        raw = b"".join(raws)
+        data, bounds = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, raws)])
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        starts = byte_cuts(data, bounds[:-1])
+        sizes = np.diff(starts, append=len(data))
+        key, check = self._hashes(data, starts, sizes)
+        found, first, place = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) > self._limit:
+            self._reset()
+        at = np.minimum(np.searchsorted(self.keys, found), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == found) if len(self.keys) else np.zeros(len(found), bool)
+        if (~known).any():
+            new = first[~known]
+            ids, lens = self._encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), (starts[new] + sizes[new]).tolist())])
+            where = np.searchsorted(self.keys, found[~known])
+            own = len(self.pool) + np.cumsum(lens) - lens
+            self.keys, self.checks = np.insert(self.keys, where, found[~known]), np.insert(self.checks, where, check[new])
+            self.starts, self.lens = np.insert(self.starts, where, own), np.insert(self.lens, where, lens)
+            self.pool = np.concatenate([self.pool, ids])
+            at = np.searchsorted(self.keys, found)
+        at = at[place]
+        if (self.checks[at] != check).any():  # two segments with one key: neither is looked up
+            return self._plain(texts)
+        lens, ends = self.lens[at], np.cumsum(self.lens[at])
+        ids = self.pool[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, bounds)]
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [segments(t) for t in texts]
+        ids, lens = self._encode([s for x in parts for s in x])
+        return ids, np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *map(len, parts)])]
+
+
 @lru_cache(maxsize=4)
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -109,7 +205,7 @@ def token_bytes(path: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> SegmentEncoder:
+def library_encoder(path: str) -> HashedEncoder:
     """By the tokenizers library and a vocabulary file of it; special tokens' strings are ordinary text."""
     tokenizer, sizes = _library(path)
 
@@ -119,7 +215,7 @@ def library_encoder(path: str) -> SegmentEncoder:
         ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) for x in parts])) + 1
         return ids, np.diff(ends, prepend=0)
 
-    return SegmentEncoder(encode)
+    return HashedEncoder(encode, LIBRARY_SEGMENTS)
 
 
 @lru_cache(maxsize=4)

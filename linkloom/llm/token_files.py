@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm import arrow, scratch, segments
+from linkloom import scratch
+from linkloom.llm import arrow, segments
 
 #: Fixed by the contract: the id that ends each document.
 END_ID = 2
@@ -50,6 +51,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_
                 names=schema.fieldNames(),
             )
             row += n
+        arrow.task_ends()
 
     options = {
         "compression": "zstd",
@@ -76,15 +78,16 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
 
 
 def starts(files: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before each one.
+    """``part, row, start``: the ids of all documents before each one.
 
     Totals by file are as many rows as files; the running sum inside a file is
-    bounded by the range that one task wrote.
+    bounded by the range that one task wrote. The ids themselves aren't read.
     """
+    files = files.select("part", "row", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(offsets), "part").withColumn("start", F.col("offset") + F.col("inside")).drop("offset", "inside")
+    return files.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(offsets), "part").select("part", "row", (F.col("offset") + F.col("inside")).alias("start"))
 
 
 def checksums(files: DataFrame) -> DataFrame:
@@ -107,4 +110,4 @@ def digest(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """Writes the token files of ``docs`` to the shared folder and returns what is read back from them."""
     path = scratch.new_path(spark, "tokens")
     write(docs, path, vocabulary)
-    return starts(checksums(read(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return checksums(read(spark, path)).join(starts(read(spark, path, ids=False)), ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
