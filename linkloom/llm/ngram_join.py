@@ -221,11 +221,11 @@ def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
 
     For sets s and y with differences S and Y from p, s and y are
     |S| + |Y| - 2 |S & Y| apart, and |S| and |Y| differ by no more than that. One
-    of two documents in different components doesn't link with p, so its S is
-    large. All this bounds |S & Y| from below, so the first n-grams of S and Y,
-    in one order, have one in common: pairs come from those alone. The order has
-    n-grams that p lacks first, by hash, then those of p by how many of the
-    closer differences have them, the rarest first.
+    of two documents in different components, say s, doesn't link with p, so its
+    S is large; a link takes more than about half of Y in S. N-grams that no
+    other difference from p has can't be among them. So of the others, ordered
+    from the rarest, one of the first of Y, by how few it can miss, is one of
+    the first of S: pairs come from those alone, and none from a Y without enough.
     """
     of_p = found.select(F.col("node").alias("p"), F.col("component").alias("p_component"))
     of_q = found.select(F.col("node").alias("q"), F.col("component").alias("q_component"))
@@ -236,23 +236,23 @@ def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
     ratio = (100 - share) / (100 + share)
     distance = F.size("added") + F.size("lost")
     reach = F.floor(F.col("q_size") * (1 + 100 / share) * ratio + 1e-9)
-    half = F.ceil((distance + (F.col("p_size") - F.col("q_size")) * ratio) / 2 - 1e-9)
-    needed = F.greatest(F.lit(1), distance - reach, F.when(~F.col("outside"), half).otherwise(F.lit(1)))
-    told = told.withColumn("count", (distance - needed + 1).cast("int")).where("count > 0")
-    keep = ["p", "q", "q_size", "component", "outside"]
-    early = told.select(*keep, F.explode(F.slice(F.sort_array("added"), F.lit(1), F.col("count"))).alias("gram"))
-    close = told.withColumn("left", F.col("count") - F.size("added")).where("left > 0").select(*keep, "left", F.explode("lost").alias("gram"))
-    often = close.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("p", "q").orderBy("often", "gram"))
-    late = close.join(often, ["p", "gram"]).withColumn("rank", rank).where("rank <= left").select(*keep, "gram")
-    grams = scratch.written(early.unionByName(late), "grams")
-
-    often = grams.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("p", "gram")
-    grams = grams.join(often, ["p", "gram"], "left_semi")
-    s = grams.where("outside").select("p", "gram", *(F.col(c).alias(f"s_{c}") for c in ("q", "q_size", "component")))
-    y = grams.select("p", "gram", *(F.col(c).alias(f"y_{c}") for c in ("q", "q_size", "component")))
+    half = F.floor((distance + (F.col("p_size") - F.col("q_size")) * ratio) / 2 + 1e-9) + 1
+    as_s = F.greatest(F.lit(1), distance - reach)
+    told = told.withColumn("as_s", as_s).withColumn("as_y", F.greatest(as_s, half))
+    told = told.withColumn("d", distance)
+    keep = ["p", "q", "q_size", "component", "outside", "as_s", "as_y", "d"]
+    grams = told.select(*keep, F.explode(F.concat("added", "lost")).alias("gram"))
+    often = grams.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
+    own = Window.partitionBy("p", "q")
+    grams = grams.join(often, ["p", "gram"]).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("often", "gram")))
+    grams = scratch.written(grams.where((F.col("outside") & F.expr("rank <= n - as_s + 1")) | F.expr("rank <= n - as_y + 1")), "grams")
+    told = ("q", "q_size", "component", "d", "n", "rank")
+    s = grams.where(F.col("outside") & F.expr("rank <= n - as_s + 1")).select("p", "gram", *(F.col(c).alias(f"s_{c}") for c in told))
+    y = grams.where("rank <= n - as_y + 1").select("p", "gram", *(F.col(c).alias(f"y_{c}") for c in told))
     fits = F.least("s_q_size", "y_q_size") * 100 >= F.greatest("s_q_size", "y_q_size") * share
-    pairs = s.join(y, ["p", "gram"]).where(F.expr("s_component <> y_component") & fits)
+    # what S and Y can have in common before, at and after this n-gram, against what a link takes
+    enough = F.expr(f"2 * (least(s_rank, y_rank) + least(s_n - s_rank, y_n - y_rank)) >= s_d + y_d - (s_q_size + y_q_size) * {100 - share} div {100 + share}")
+    pairs = s.join(y, ["p", "gram"]).where(F.expr("s_component <> y_component") & fits & enough)
     return pairs.select(F.least("s_q", "y_q").alias("p"), F.greatest("s_q", "y_q").alias("q")).distinct()
 
 
