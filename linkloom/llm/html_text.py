@@ -2,7 +2,8 @@
 
 Every page's containers are scored by the text they hold; scores are summed by
 host and generalised path (tags with their classes, digits left out). The text
-is then taken from the containers on the host's winning paths.
+is then taken from the containers on the host's winning paths, with all that
+stands inside them and what belongs to the same article.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from collections import defaultdict
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,20 +60,28 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
 class _Open:
     __slots__ = ("tag", "dropped", "path", "container", "article", "link")
 
-    def __init__(self, tag: str, dropped: bool, path: tuple[str, ...], container: tuple[str, ...], article: bool, link: bool) -> None:
+    def __init__(self, tag: str, dropped: bool, path: tuple[str, ...], container: int, article: bool, link: bool) -> None:
         self.tag, self.dropped, self.path, self.container, self.article, self.link = tag, dropped, path, container, article, link
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """``(container path, text, characters in links)`` of every block that isn't menu, notice or the like, in page order.
+class Page(NamedTuple):
+    """``(path, number of the container around it)`` of each container, outer ones first, and ``(container, text, characters in links)`` of each block."""
+
+    containers: list[tuple[tuple[str, ...], int]]
+    blocks: list[tuple[int, str, int]]
+
+
+def blocks(html: str) -> Page:
+    """Every block that isn't menu, notice or the like, in page order, and the containers that they stand in.
 
     Inside an article or main element, that element is the container; elsewhere
     it is the nearest element that can hold an article.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack = [_Open("", False, (), (), False, False)]
+    out: list[tuple[int, str, int]] = []
+    containers: list[tuple[tuple[str, ...], int]] = [((), -1)]
+    stack = [_Open("", False, (), 0, False, False)]
     text: list[str] = []
-    where: tuple[str, ...] = ()
+    where = 0
     links = 0
 
     def flush() -> None:
@@ -142,26 +152,72 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             path = (*path, name)[-PATH_DEPTH:]
             article = article or tag in ("article", "main")
             if not top.article or tag == "article":
-                container = path
+                containers.append((path, container))
+                container = len(containers) - 1
         stack.append(_Open(tag, top.dropped or dropped or (outside and not top.article), path, container, article, top.link or tag == "a"))
     flush()
-    return out
+    return Page(containers, out)
 
 
-def scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
+def scores(page: Page) -> dict[str, float]:
     """Each container path's share of the page's text, where text in links doesn't count."""
     by_path: dict[str, float] = defaultdict(float)
-    for path, text, links in found:
+    for container, text, links in page.blocks:
+        path = page.containers[container][0]
         by_path[">".join(path)] += max(0, len(text) - 2 * links) * (2.0 if any(p.split(".")[0] in ("article", "main") for p in path) else 1.0)
     total = sum(by_path.values())
     return {p: s / total for p, s in by_path.items()} if total else {}
 
 
-def main_text(found: list[tuple[tuple[str, ...], str, int]], winners: list[str]) -> str:
-    """Blocks on the first of the host's paths that the page has; without one, on the page's own best path."""
-    own = scores(found)
-    best = next((p for p in winners if p in own), None) or max(own, key=own.get, default=None)
-    return " ".join(text for path, text, _ in found if ">".join(path) == best)
+def _tag(path: tuple[str, ...]) -> str:
+    return path[-1].split(".")[0] if path else ""
+
+
+def _article(page: Page, names: list[str], own: dict[str, float], best: str, winners: set[str]) -> list[bool]:
+    """For each container whether it belongs to the article of which ``best`` is a path.
+
+    The article is the outermost article or main element around the path, else
+    the outermost winning path around it below body, with all inside; and other
+    winning paths that stand beside it in a container below body.
+    """
+    shell = [_tag(path) in ("", "html", "body") for path, _ in page.containers]
+    #: Outermost article or main, and outermost winning container, of which each container is a part.
+    whole, outer = [-1] * len(names), [-1] * len(names)
+    for k, (path, parent) in enumerate(page.containers):
+        if parent >= 0:
+            whole[k], outer[k] = whole[parent], outer[parent]
+        if whole[k] < 0 and _tag(path) in ("article", "main"):
+            whole[k] = k
+        if outer[k] < 0 and not shell[k] and own.get(names[k], 0) > 0 and names[k] in winners:
+            outer[k] = k
+    roots = set()
+    for k in {container for container, _, _ in page.blocks if names[container] == best}:
+        roots.add(whole[k] if whole[k] >= 0 else outer[k] if outer[k] >= 0 else k)
+    around = {page.containers[k][1] for k in roots if whole[k] < 0} - {-1}
+    inside, near = [False] * len(names), [False] * len(names)
+    for k, (_, parent) in enumerate(page.containers):
+        near[k] = parent >= 0 and (near[parent] or (parent in around and not shell[parent]))
+        beside = near[k] and own.get(names[k], 0) > 0 and names[k] in winners
+        inside[k] = k in roots or beside or (parent >= 0 and inside[parent])
+    return inside
+
+
+def main_text(page: Page, winners: list[str]) -> str:
+    """The article's blocks, found by the first of the host's paths whose article has half of the page's score, else by the page's own best path.
+
+    Where nothing scores, all blocks.
+    """
+    own = scores(page)
+    if not own:
+        return " ".join(text for _, text, _ in page.blocks)
+    names = [">".join(path) for path, _ in page.containers]
+    first = max(own, key=own.get)
+    known = {*winners, first}
+    for best in [*(p for p in winners if own.get(p, 0) > 0), first]:
+        inside = _article(page, names, own, best, known)
+        if best == first or 2 * sum(own.get(p, 0) for p in {n for n, x in zip(names, inside) if x}) >= 1:
+            break
+    return " ".join(text for container, text, _ in page.blocks if inside[container])
 
 
 def host_column(url_col: str):

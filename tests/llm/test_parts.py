@@ -149,3 +149,30 @@ def test_pages_by_the_hosts_path(spark):
     for limit in (html_text.BROADCAST_HOSTS, 0):
         found = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df, broadcast_hosts=limit).collect())
         assert found == [*((n, want, len(want)) for n in range(6)), (10, "T alpha beta", 12), (11, "", 0), (12, "", 0), (13, "", 0), (13, "", 0)]
+
+
+def texts_of(spark, *pages):
+    df = spark.createDataFrame([(n, "https://one.example/", html) for n, html in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
+
+
+def test_an_article_is_its_whole_subtree(spark):
+    post = "<body><div class=post><p>Alpha one.</p><blockquote>Beta two three.</blockquote><div class=more><p>Gamma four five six.</p></div><table><tr><td>Delta seven eight nine ten.</td></tr></table></div></body>"
+    halves = "<body><div class=story><div class=upper>Upper half of it.</div><div class=lower>Lower half, a little longer.</div></div><div class=other>x</div></body>"
+    assert texts_of(spark, post) == ["Alpha one. Beta two three. Gamma four five six. Delta seven eight nine ten."]
+    assert texts_of(spark, "<main><h1>Title</h1><article>The text of it.</article></main>") == ["Title The text of it."]
+    assert texts_of(spark, halves) == ["Upper half of it. Lower half, a little longer."]
+
+
+def test_a_page_keeps_its_own_article(spark):
+    usual = "<body><div class=post>%s</div></body>" % ("usual text of this host " * 4)
+    other = "<body><div class=post>brief</div><div class=special>%s</div></body>" % ("another article " * 20)
+    linked = '<body><div class=post><a href="/a">only links here</a></div></body>'
+    found = texts_of(spark, usual, usual, other, linked)
+    assert found[0] == found[1] == ("usual text of this host " * 4).strip()
+    assert found[2:] == [("another article " * 20).strip(), "only links here"]
+
+
+def test_the_subtree_holds_below_any_depth(spark):
+    deep = "<div class=post>Start here, a long first paragraph." + "<div>" * 30 + "Deep inside." + "</div>" * 30 + "</div>"
+    assert texts_of(spark, deep) == ["Start here, a long first paragraph. Deep inside."]
