@@ -33,35 +33,47 @@ _CONTAINERS = frozenset("html body main article section div td center blockquote
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPES = frozenset("table ul ol dl div section article main body td th aside nav form blockquote header footer".split())
 _DROPPED_TAGS = frozenset("nav footer aside form button select menu dialog template svg math canvas object audio video head".split())
-#: A class, id or role with one of these words is not the article.
+#: What a class, id or role with one of these words names is not the article, unless it holds the article.
 _DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright dialog disqus footer footnav form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe subscription".split()
 )
 #: The same for what stands outside an article.
 _HEADER_WORDS = frozenset(["header"])
+#: A class or id that has one of these words says how a page is laid out, not what the element is.
+_LAYOUT_WORDS = frozenset("has no not with without is open closed enabled disabled on off".split())
 #: Path components that tell containers of a host apart; a longer path counts by its end.
 PATH_DEPTH = 10
 #: Paths kept for each host, best first.
 PATHS_PER_HOST = 8
 
 
+def _words(found: dict[str, str]) -> set[str]:
+    """Words of the classes, id, role and label that say what an element is."""
+    out: set[str] = set()
+    for token in (t for a in ("class", "id", "role", "aria-label") for t in found.get(a, "").split()):
+        words = {w.lower() for w in _WORD.findall(token)}
+        if not words & _LAYOUT_WORDS:
+            out |= words
+    return out
+
+
 @lru_cache(maxsize=4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """``(path component, dropped anywhere, dropped outside an article)`` of a start tag."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """``(path component, dropped anywhere, dropped outside an article, and both for its words alone)`` of a start tag."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     classes = found.get("class", "")
-    words = {w.lower() for a in ("class", "id", "role", "aria-label") for w in _WORD.findall(found.get(a, ""))} if found else set()
+    body = tag in ("html", "body", "main", "article")
+    words = _words(found) if found and not body else set()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     name = ".".join([tag, *sorted({_DIGITS.sub("", c) for c in classes.split()} - {""})])
-    body = tag in ("html", "body", "main", "article")
-    return name, tag in _DROPPED_TAGS or hidden or (not body and bool(words & _DROPPED_WORDS)), tag == "header" or (not body and bool(words & _HEADER_WORDS))
+    return name, tag in _DROPPED_TAGS or hidden, tag == "header", bool(words & _DROPPED_WORDS), bool(words & _HEADER_WORDS)
 
 
 class _Open:
-    __slots__ = ("tag", "dropped", "path", "container", "article", "link")
+    __slots__ = ("tag", "dropped", "named", "path", "container", "article", "link")
 
-    def __init__(self, tag: str, dropped: bool, path: tuple[str, ...], container: int, article: bool, link: bool) -> None:
-        self.tag, self.dropped, self.path, self.container, self.article, self.link = tag, dropped, path, container, article, link
+    def __init__(self, tag: str, dropped: bool, named: int, path: tuple[str, ...], container: int, article: bool, link: bool) -> None:
+        self.tag, self.dropped, self.named, self.path, self.container, self.article, self.link = tag, dropped, named, path, container, article, link
 
 
 class Page(NamedTuple):
@@ -71,38 +83,56 @@ class Page(NamedTuple):
     blocks: list[tuple[int, str, int]]
 
 
+def _kept(named: list[int], articles: list[int], sizes: list[int]) -> list[bool]:
+    """Whether what stands in each element that its words would drop is kept; the first is the page.
+
+    ``named`` has the number of the one around each, ``articles`` and ``sizes``
+    the articles and the unlinked text directly in each. One that holds an
+    article or most of the text is kept unless an article stands outside.
+    """
+    all_articles, all_sizes = articles.copy(), sizes.copy()
+    for k in range(len(named) - 1, 0, -1):
+        all_articles[named[k]] += all_articles[k]
+        all_sizes[named[k]] += all_sizes[k]
+    kept, free = [True], articles[0] > 0
+    for k in range(1, len(named)):
+        kept.append(kept[named[k]] and not free and (all_articles[k] > 0 or 2 * all_sizes[k] > all_sizes[0]))
+        free = free or (kept[k] and articles[k] > 0)
+    return kept
+
+
 def blocks(html: str) -> Page:
     """Every block that isn't menu, notice or the like, in page order, and the containers that they stand in.
 
     Inside an article or main element, that element is the container; elsewhere
-    it is the nearest element that can hold an article.
+    it is the nearest element that can hold an article. Elements that their words
+    would drop are judged at the end, by what they hold.
     """
-    out: list[tuple[int, str, int]] = []
+    #: Containers, and pieces of text with the element that may drop each and whether it is in a link.
+    out: list[tuple[int, list[tuple[str, int, bool]]]] = []
+    named, articles, sizes = [-1], [0], [0]
     containers: list[tuple[tuple[str, ...], int]] = [((), -1)]
-    stack = [_Open("", False, (), 0, False, False)]
-    text: list[str] = []
+    stack = [_Open("", False, 0, (), 0, False, False)]
+    text: list[tuple[str, int, bool]] = []
     where = 0
-    links = 0
 
     def flush() -> None:
-        nonlocal text, links
+        nonlocal text
         if text:
-            joined = " ".join("".join(text).split())
-            if joined:
-                out.append((where, joined, links))
-            text, links = [], 0
+            out.append((where, text))
+            text = []
 
     def add(piece: str) -> None:
-        nonlocal where, links
+        nonlocal where
         top = stack[-1]
         if piece and not top.dropped:
             piece = unescape(piece) if "&" in piece else piece
             if top.container != where:
                 flush()
                 where = top.container
-            text.append(piece)
-            if top.link:
-                links += len(piece)
+            text.append((piece, top.named, top.link))
+            if not top.link:
+                sizes[top.named] += len("".join(piece.split()))
 
     position, end = 0, len(html)
     while position < end:
@@ -145,8 +175,17 @@ def blocks(html: str) -> Page:
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS:
             continue
-        name, dropped, outside = _element(tag, m[3])
+        name, dropped, outside, by_word, outside_by_word = _element(tag, m[3])
         top = stack[-1]
+        dropped = top.dropped or dropped or (outside and not top.article)
+        inner = top.named
+        if not dropped and (by_word or (outside_by_word and not top.article)):
+            named.append(inner)
+            articles.append(0)
+            sizes.append(0)
+            inner = len(named) - 1
+        if not dropped and tag in ("article", "main"):
+            articles[inner] += 1
         path, container, article = top.path, top.container, top.article
         if tag in _CONTAINERS:
             path = (*path, name)[-PATH_DEPTH:]
@@ -154,9 +193,15 @@ def blocks(html: str) -> Page:
             if not top.article or tag == "article":
                 containers.append((path, container))
                 container = len(containers) - 1
-        stack.append(_Open(tag, top.dropped or dropped or (outside and not top.article), path, container, article, top.link or tag == "a"))
+        stack.append(_Open(tag, dropped, inner, path, container, article, top.link or tag == "a"))
     flush()
-    return Page(containers, out)
+    kept = _kept(named, articles, sizes)
+    found = []
+    for container, pieces in out:
+        pieces = [x for x in pieces if kept[x[1]]]
+        if joined := " ".join("".join(piece for piece, _, _ in pieces).split()):
+            found.append((container, joined, sum(len(piece) for piece, _, link in pieces if link)))
+    return Page(containers, found)
 
 
 def scores(page: Page) -> dict[str, float]:

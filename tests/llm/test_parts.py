@@ -176,3 +176,19 @@ def test_a_page_keeps_its_own_article(spark):
 def test_the_subtree_holds_below_any_depth(spark):
     deep = "<div class=post>Start here, a long first paragraph." + "<div>" * 30 + "Deep inside." + "</div>" * 30 + "</div>"
     assert texts_of(spark, deep) == ["Start here, a long first paragraph. Deep inside."]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div class="layout has-sidebar">', '<div id="content" class="no-sidebar">', '<div class="post comments-open">', '<div class="search-layout">', '<div id="social" class="menu-page"><div class="alert">', '<div class="header">'],
+)
+def test_names_of_a_wrapper_do_not_drop_the_article(wrapper):
+    rest = '<div class="sidebar">At the side.</div><section class="comments"><article>A reader says far more than the article does.</article></section>'
+    for inner, want in (("<article>The article.</article>" + rest, "The article."), ("<p>" + "A long text without the element. " * 9 + '</p><div class="sidebar">At the side.</div>', ("A long text without the element. " * 9).strip())):
+        assert html_text.main_text(html_text.blocks(f"<body><nav>menu</nav>{wrapper}{inner}</body>"), []) == want
+
+
+def test_what_is_not_the_article_is_still_dropped():
+    page = '<body><article>Short.</article><div class="comments">Readers write far more than the article has.</div><div id="cookie-notice">We use cookies</div><div class="site-footnav">x</div></body>'
+    assert [text for _, text, _ in html_text.blocks(page).blocks] == ["Short."]
+    assert [text for _, text, _ in html_text.blocks('<p>One wo<span class="share">tell</span>rd.').blocks] == ["One word."]
