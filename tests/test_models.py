@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import model
+from linkloom.operators import features, model
 from linkloom.plans import link_prediction
 
 
@@ -83,3 +83,17 @@ def test_whole_analysis(spark):
     assert out.candidates.count() > 0 and out.metrics.count() == 1
     assert out.candidates.join(out.edges.select(F.col("src").alias("i"), F.col("dst").alias("j")), ["i", "j"]).count() == 0
     assert out.reports["overall"].count() == out.candidates.where("similarity > 0").count()
+
+
+def test_sample_is_topped_up_to_the_candidates(spark, monkeypatch):
+    monkeypatch.setattr(features, "SAMPLE_FLOOR", 10)
+    monkeypatch.setattr(features, "SAMPLE_MULTIPLE", 1)
+    nodes = spark.range(12).select(F.col("id").alias("node"))
+    listed = [(a, b) for a in range(12) for b in range(12) if (a + b) % 8]
+    found = spark.createDataFrame(listed, "i long, j long")
+    rows = features.sample_pairs(spark, nodes, found).collect()
+    assert len(rows) >= len(listed) and len({r.k for r in rows}) == len(rows)
+    assert not {(r.i, r.j) for r in rows} & set(listed)
+    assert {r.k for r in features.sample_pairs(spark, nodes, found, len(listed)).collect()} == {r.k for r in rows if r.k < len(listed)}
+    everything = spark.createDataFrame([(a, b) for a in range(12) for b in range(12)], "i long, j long")
+    assert features.sample_pairs(spark, nodes, everything).count() == 0
