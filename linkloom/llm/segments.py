@@ -192,21 +192,28 @@ def _library(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     sizes = np.zeros(max(tokenizer.get_vocab().values()) + 1, np.int64)
     for token, n in tokenizer.get_vocab().items():
         sizes[n] = len(token)  # the vocabulary writes each byte as one character
+    for n, token in tokenizer.get_added_tokens_decoder().items():
+        if " " in token.content or token.lstrip or token.rstrip or token.single_word:
+            raise ValueError(f"{path}: texts can't be cut at spaces, the string {token.content!r} may take them")
+        sizes[n] = len(token.content.encode())  # these are written as they are
     return tokenizer, sizes
 
 
 def token_bytes(path: str) -> np.ndarray:
-    """How many bytes of text each id of a tokenizers vocabulary stands for."""
+    """How many bytes of text each id of a tokenizers vocabulary, added ones included, stands for."""
     return _library(path)[1]
 
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> HashedEncoder:
-    """By the tokenizers library and a vocabulary file of it; special tokens' strings are ordinary text."""
+    """By the tokenizers library and a vocabulary file of it, with ``add_special_tokens=False``.
+
+    As the library does by default, a special token's string in a text is that
+    token; it has no space, so no cut is made inside it.
+    """
     tokenizer, sizes = _library(path)
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,9 @@
 """Every contract against a plain version of it."""
 
+import random
+
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -47,6 +50,34 @@ def test_token_files(spark, docs, rows, tokenizer):
     assert collected(found, "doc_id", "start", "n_tokens", "ids_crc32") == brute.op4(rows, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
 
 
+def test_strings_of_special_tokens_are_what_the_library_takes_them_for(spark, tokenizer):
+    mark = "<|endoftext|>"
+    texts = [mark, f"hello {mark} world", f"{mark}{mark}", f"a{mark}b", f"a {mark}", f" {mark}  {mark} x", f"{mark}\n\n {mark}\t", f"<|endof text|> {mark[:-1]} >", f"{mark}'s {mark} 's"]
+    pick = random.Random(4)
+    texts += ["".join(pick.choice([mark, " ", "  ", "\n", "a", "bc", "<|", "|>", "'s", "\u00a0", "\u4e2d", "1"]) for _ in range(pick.randint(1, 12))) for _ in range(3000)]
+    rows = list(enumerate(texts))
+    found = token_files.digest(spark, spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY)
+    assert collected(found, "doc_id", "start", "n_tokens", "ids_crc32") == brute.op4(rows, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+def test_token_files_have_the_encodings_and_indexes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "ROW_GROUP_BYTES", 200_000)
+    monkeypatch.setattr(token_files, "PAGE_ROWS", 500)
+    pick = random.Random(6)
+    docs = spark.createDataFrame([(n, " ".join(str(pick.randrange(10**6)) for _ in range(40))) for n in range(6000)], "doc_id long, text string").coalesce(1)
+    token_files.write(docs, f"file://{tmp_path}/tokens", VOCABULARY)
+    footers = [pq.ParquetFile(f).metadata for f in sorted(tmp_path.glob("tokens/*.parquet"))]
+    assert sum(m.num_rows for m in footers) == 6000 and max(m.num_row_groups for m in footers) > 1
+    for m in footers:
+        for g in range(m.num_row_groups):
+            columns = {(c := m.row_group(g).column(k)).path_in_schema.split(".")[0]: c for k in range(m.num_columns)}
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings and not columns[c].has_dictionary_page for c in ("doc_id", "row", "n_tokens"))
+            assert columns["ids"].has_dictionary_page and "RLE_DICTIONARY" in columns["ids"].encodings
+            assert all(columns[c].has_column_index and columns[c].has_offset_index for c in ("doc_id", "row", "n_tokens", "ids"))
+            assert all(c.compression == "ZSTD" for c in columns.values())
+            assert columns["doc_id"].is_stats_set
+
+
 def test_token_files_are_read_selectively(spark, docs, tmp_path, tokenizer, rows):
     path = f"file://{tmp_path}/tokens"
     token_files.write(docs, path, VOCABULARY)
