@@ -15,9 +15,19 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i
 lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM ({_LINES}) WHERE regexp_matches(line, '[^{_SPACE}]') GROUP BY doc_id),
 c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
 coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0) AS n_lines FROM w LEFT JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN rep r ON r.doc_id = w.doc_id),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-NOT base_failed AND 10 * n_symbols <= n_words AND 100 * n_dup_lines <= 60 * n_lines AND word_chars BETWEEN 2 * n_words AND 12 * n_words AS kept FROM b"""
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+passed AS (SELECT w.doc_id, text, w FROM w JOIN b USING (doc_id) WHERE NOT base_failed),
+marks AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^[{_SPACE}]*[-*\u2022]')) AS bullets, count(*) FILTER (WHERE regexp_matches(line, '([.][.][.]|\u2026)[{_SPACE}]*$')) AS ellipses FROM ({_LINES}) WHERE regexp_matches(line, '[^{_SPACE}]') GROUP BY doc_id),
+four AS (SELECT doc_id, array_to_string(w[i : i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM passed)),
+top AS (SELECT doc_id, max(n) AS chars FROM (SELECT doc_id, count(*) * (length(k) - 3) AS n FROM four GROUP BY doc_id, k HAVING count(*) > 1) GROUP BY doc_id),
+five AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM passed)),
+many AS (SELECT doc_id, k FROM five GROUP BY doc_id, k HAVING count(*) > 1),
+runs AS (SELECT doc_id, sum(length(w[j])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS j FROM five JOIN many USING (doc_id, k)) JOIN passed USING (doc_id) GROUP BY doc_id),
+m AS (SELECT p.doc_id, list_count([1 FOR x IN p.w IF regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]')]) AS letters, list_max([length(x) FOR x IN p.w]) AS longest, contains({_LOWER.format("text")}, 'lorem ipsum') AS lorem, coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses, coalesce(t.chars, 0) AS top_chars, coalesce(r.chars, 0) AS run_chars
+FROM passed p LEFT JOIN marks ON marks.doc_id = p.doc_id LEFT JOIN top t ON t.doc_id = p.doc_id LEFT JOIN runs r ON r.doc_id = p.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+coalesce(NOT base_failed AND 10 * n_symbols <= n_words AND 100 * n_dup_lines <= 60 * n_lines AND word_chars BETWEEN 2 * n_words AND 12 * n_words AND 100 * bullets <= 90 * n_lines AND 100 * ellipses <= 30 * n_lines
+AND 100 * letters >= 80 * n_words AND longest <= 1000 AND NOT lorem AND 100 * top_chars <= 16 * word_chars AND 100 * run_chars <= 30 * word_chars, false) AS kept FROM b LEFT JOIN m ON m.doc_id = b.doc_id"""
 
 OP7 = f"""WITH k AS (SELECT doc_id, line, pos, {_LOWER.format(f"regexp_replace(regexp_replace(line, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '')")} AS key FROM ({_LINES})),
 bad AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)

@@ -59,6 +59,31 @@ def op5(rows):
     return out
 
 
+def op5_kept(text):
+    """The verdict of all rules, base ones included."""
+    _, n, chars, symbols, dup, _, failed = op5([(0, text)])[0]
+    text = text or ""
+    words, lines = WORD.findall(text), [x.strip(SPACE) for x in text.split("\n") if WORD.search(x)]
+    if failed:
+        return False
+    run = lambda k: [tuple(words[i : i + k]) for i in range(n - k + 1)]
+    four, five = Counter(run(4)), Counter(run(5))
+    covered = {j for i, r in enumerate(run(5)) if five[r] > 1 for j in range(i, i + 5)}
+    rejected = [
+        symbols / n > 0.1,
+        dup > 0.6 * len(lines),
+        not 2 <= chars / n <= 12,
+        sum(x[0] in "-*\u2022" for x in lines) > 0.9 * len(lines),
+        sum(x.endswith(("...", "\u2026")) for x in lines) > 0.3 * len(lines),
+        sum(any(c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" or ord(c) > 127 for c in w) for w in words) < 0.8 * n,
+        max(map(len, words)) > 1000,
+        "lorem ipsum" in ascii_lower(text),
+        max((c * len("".join(r)) for r, c in four.items() if c > 1), default=0) > 0.16 * chars,
+        sum(len(words[j]) for j in covered) > 0.3 * chars,
+    ]
+    return not any(rejected)
+
+
 def op7(rows, min_docs=10, min_chars=1):
     key = lambda line: ascii_lower(line.strip(SPACE))
     where = defaultdict(set)

@@ -2,13 +2,15 @@
 
 import random
 
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from linkloom.llm import bpe, line_dedup, ngram_join, quality, secret_scan, segments, span_dedup, token_files
+from linkloom.llm import bpe, line_dedup, ngram_join, quality, secret_scan, segments, span_dedup, sql, token_files
 from tests.llm import brute
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -96,6 +98,60 @@ def test_quality(docs, rows):
     assert collected(found, *columns) == sorted(brute.op5(rows))
     assert all(not r.kept for r in found.where("base_failed").collect())
     assert found.where("kept").count() > 50
+    assert collected(found, "doc_id", "kept") == sorted((d, brute.op5_kept(t)) for d, t in rows)
+
+
+PROSE = "in this town there were many who had never seen the sea but some of them could tell long stories about its ships and men and the birds that follow them far out to where no land is seen for days on end while others only laughed at such tales".split()
+JUNK = {
+    "symbols": PROSE + ["##"] * 4,
+    "repeated_lines": [" ".join(PROSE)] + ["\nred fish blue"[: 9 + k // 4] for k in range(12)],
+    "word_length": PROSE + ["abcdefghijklmnopqrstuvwxyz" * 9 + str(k) for k in range(4)],
+    "bullets": [f"\n - {a} {b}" for a, b in zip(PROSE, PROSE[9:] + PROSE[:9])],
+    "ellipses": [f"\n{a} {b}..." if k % 2 else f"\n{a} {b} " for k, (a, b) in enumerate(zip(PROSE, PROSE[9:] + PROSE[:9]))],
+    "letters": PROSE + [str(k * 7919) for k in range(30)],
+    "long_word": PROSE + ["é" * 1001],
+    "placeholder": PROSE + ["Lorem ipsum dolor"],
+    "top_run": PROSE[:40] + ["one two three four"] * 2 + PROSE[40:] + ["one two three four"] * 2,
+    "repeated_runs": PROSE + [f"v{k}" for k in range(12)] + PROSE[:20],
+}
+
+
+def test_each_rule_rejects_what_it_is_for_and_prose_stays(spark):
+    texts = {"prose": " ".join(PROSE), **{k: " ".join(v) for k, v in JUNK.items()}}
+    assert quality.verdict(quality.Document(texts["prose"]), quality.DEFAULT_RULES) is None
+    by_rule = {r.name: r for r in quality.MORE_RULES}
+    assert set(JUNK) == set(by_rule)
+    for name, rule in by_rule.items():
+        assert quality.verdict(quality.Document(texts[name]), quality.BASE_RULES) is None, name
+        assert rule.rejects(quality.Document(texts[name])), name
+    assert {k: brute.op5_kept(t) for k, t in texts.items()} == {k: k == "prose" for k in texts}
+    rule = quality.stop_words({"en": ["the", "of", "and"], "de": ["der", "und"]})
+    assert [rule.rejects(quality.Document(t)) for t in ("The and x", "the der", "x und y Der", "")] == [False, True, False, True]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts) + 2)), "text": [*texts.values(), None, ""]}))
+    assert dict(con.execute(f"SELECT doc_id, kept FROM ({sql.OP5})").fetchall()) == {k: k == 0 for k in range(len(texts) + 2)}
+
+
+def test_a_rejected_document_computes_nothing_for_later_rules(docs, rows):
+    by_rule = {r.name: r for r in quality.MORE_RULES}
+    d = quality.Document(" ".join(JUNK["symbols"]))
+    assert quality.verdict(d, (by_rule["symbols"], by_rule["repeated_runs"], by_rule["letters"])) == "symbols"
+    assert not {"repeated_run_chars", "n_letter_words", "lines"} & set(d.__dict__)
+    asked = []
+    costly = quality.Rule("costly", lambda d: asked.append(d.text) or False)
+    texts = [t for _, t in rows]
+    order = quality.ordered((costly, *quality.DEFAULT_RULES), [("costly", 1.0, 0.0), *((r.name, 1e-6, 0.1) for r in quality.DEFAULT_RULES)])
+    kept = [t for t in texts if quality.verdict(quality.Document(t), order) is None]
+    assert asked == kept and len(kept) < len(texts)
+
+
+def test_the_cascade_is_ordered_on_a_sample_of_every_partition(docs):
+    found = {name: (seconds, share) for name, seconds, share in quality.measure(docs, given=("n_words",))}
+    assert set(found) == {r.name for r in quality.DEFAULT_RULES} and all(s >= 0 and 0 <= x <= 1 for s, x in found.values())
+    assert found["few_words"][1] > 0 and found["few_words"][0] < found["repeated_runs"][0]
+    assert quality.measure(docs.limit(0)) == []
+    past = quality.measure(docs, quality.MORE_RULES, past=quality.BASE_RULES)
+    assert {n for n, *_ in past} == {r.name for r in quality.MORE_RULES}
 
 
 def test_cascade_verdict_does_not_depend_on_order(docs):

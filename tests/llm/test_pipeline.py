@@ -12,12 +12,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 
 
-def plain_keep(text):
-    _, n, chars, symbols, dup, _, failed = brute.op5([(0, text)])[0]
-    lines = [x for x in text.split("\n") if brute.WORD.search(x)]
-    return not failed and 10 * symbols <= n and 100 * dup <= 60 * len(lines) and 2 * n <= chars <= 12 * n
-
-
 def plain_lines(rows, least):
     key = lambda x: brute.ascii_lower(x.strip(brute.SPACE))
     where = {}
@@ -47,7 +41,7 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, fixtures.SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
-    kept = [(d, t) for d, t, *_ in rows if plain_keep(t)]
+    kept = [(d, t) for d, t, *_ in rows if brute.op5_kept(t)]
     kept = plain_lines(kept, 5)
     plain = brute.shingles
     monkeypatch.setattr(brute, "shingles", lambda t: plain(t, 5))
