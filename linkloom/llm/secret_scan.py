@@ -1,8 +1,8 @@
 """Secrets in texts, told apart by how many owners have them.
 
 Patterns give candidates. Their hashes are counted over the whole corpus by
-distinct repositories and owners: a value that many owners have is a copied
-example, one that few have looks live. Strings without a telling name or form
+distinct repositories and owners: a value that many owners or very many
+repositories have is a copied example, another looks live. Strings without a telling name or form
 are reported only if they look live.
 """
 
@@ -32,8 +32,8 @@ KINDS = ("assign", "access", "hex", "opaque")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 #: Least bits a character for a string without a telling name.
 OPAQUE_BITS = 3.5
-#: A value that more owners have is a copied example.
-LIVE_OWNERS = 2
+#: A value that more owners have, or more repositories of however few, is a copied example.
+LIVE_OWNERS, LIVE_REPOSITORIES = 2, 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -64,12 +64,14 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame, owner_col: str | None = "source", id_col: str = "doc_id", text_col: str = "text", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner_col: str | None = "source", id_col: str = "doc_id", text_col: str = "text", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
     """Per row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied``.
 
-    ``owner_col`` holds ``owner/repository`` or just an owner; null owners count
-    for none. ``n_live`` and ``n_copied`` split all spans by whether at most
-    ``live_owners`` owners have the value; opaque strings are spans only if live.
+    ``owner_col`` holds ``owner/repository`` or just an owner, who is then one
+    repository; a row without one is an owner by itself. ``n_live`` and
+    ``n_copied`` split all spans by whether at most ``live_owners`` owners and
+    ``live_repositories`` repositories have the value; opaque strings are spans
+    only if live.
     A null or empty text has no spans; null ids stay null; repeated rows each
     give a row; an empty table gives none. Texts are read once and not moved:
     only candidates are shuffled, summed by (value, owner) first.
@@ -105,7 +107,7 @@ def scan(docs: DataFrame, owner_col: str | None = "source", id_col: str = "doc_i
     first = scratch.written(rows.mapInArrow(run, schema), "secrets")
     spans = first.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")
     spans = spans.withColumn("owner", F.substring_index("repository", "/", 1))
-    verdicts = ownership(spans, ["h1", "h2"]).select("h1", "h2", (F.col("owners") <= live_owners).alias("live"))
+    verdicts = ownership(spans, ["h1", "h2"]).select("h1", "h2", ((F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)).alias("live"))
     judged = spans.drop("repository", "owner").join(verdicts, ["h1", "h2"])
     by_row = judged.groupBy("row").agg(
         F.sum(F.col("live").cast("long")).alias("n_live"),
@@ -121,7 +123,12 @@ def scan(docs: DataFrame, owner_col: str | None = "source", id_col: str = "doc_i
 
 
 def ownership(spans: DataFrame, value: list[str]) -> DataFrame:
-    """``repositories`` and ``owners``, both distinct, of each value; summed by value and repository before anything is counted."""
-    pairs = spans.groupBy(*value, "owner", "repository").agg(F.count(F.lit(1)).alias("copies"))
-    by_owner = pairs.groupBy(*value, "owner").agg(F.count("repository").alias("repositories"), F.sum("copies").alias("copies"))
-    return by_owner.groupBy(*value).agg(F.count("owner").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
+    """``repositories`` and ``owners``, both distinct, and ``copies`` of each value.
+
+    A row (``row``) without an owner is an owner and a repository by itself.
+    Summed by value and repository before anything is counted.
+    """
+    alone = F.when(F.col("repository").isNull(), F.col("row")).alias("alone")
+    pairs = spans.groupBy(*value, "owner", "repository", alone).agg(F.count(F.lit(1)).alias("copies"))
+    by_owner = pairs.groupBy(*value, "owner", "alone").agg(F.count(F.lit(1)).alias("repositories"), F.sum("copies").alias("copies"))
+    return by_owner.groupBy(*value).agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))

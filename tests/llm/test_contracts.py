@@ -47,6 +47,16 @@ def test_opaque_strings_of_one_owner_are_reported_and_copied_ones_are_not(spark)
     assert all(found[10 + i] == ("", 0) for i in range(5))
 
 
+def test_verdicts_by_owners_and_repositories(spark):
+    value = lambda k: f"zQ81mN5kVw2Tb7Ra9Lc4Xe6Yh0Pd{k}"
+    sources = {"a": ["o1/r1", "o1/r2", "o2/r1"], "b": ["o1/r", "o2/r", "o3/r"], "c": [f"o1/r{i}" for i in range(21)], "d": [f"o1/r{i}" for i in range(20)], "e": [None] * 3, "f": [None, None], "g": ["o1", "o1", "o2"], "h": ["o1/r", None, None], "i": [None, "o1/r"]}
+    docs = spark.createDataFrame([(k, f"token={value(k)} {value(k)}x", s) for k, some in sources.items() for s in some], "doc_id string, text string, source string")
+    found = secret_scan.scan(docs).collect()
+    live = {"a": True, "b": False, "c": False, "d": True, "e": False, "f": True, "g": True, "h": False, "i": True}
+    assert {(r.doc_id, r.n_live, r.n_copied, "opaque" in r.spans) for r in found} == {(k, 2, 0, True) if x else (k, 0, 1, False) for k, x in live.items()}
+    assert len(found) == sum(map(len, sources.values()))
+
+
 def test_token_files(spark, docs, rows, tokenizer):
     found = token_files.digest(spark, docs, VOCABULARY)
     assert collected(found, "doc_id", "start", "n_tokens", "ids_crc32") == brute.op4(rows, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
