@@ -103,6 +103,66 @@ def test_leaks_are_found_edited_or_not_and_clean_documents_are_left(spark):
     assert sorted((r.doc_id, r.item_id) for r in passes.collect()) == [(0, 0), (1, 3), (2, 5)]
 
 
+def plain_points(item, text):
+    """The best local alignment, by the plain recurrence over the whole document."""
+    above, best = [0] * (len(text) + 1), 0
+    for w in item:
+        here = [0]
+        for j, v in enumerate(text):
+            here.append(max(0, above[j] + (2 if v == w else -1), above[j + 1] - 1, here[j] - 1))
+        best, above = max(best, max(here)), here
+    return best
+
+
+def test_leaks_against_all_alignments_of_all_documents_and_items(spark):
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: [pick.choice(words) for _ in range(n)]
+
+    def edited(item, rate):
+        out = []
+        for w in item:
+            out += {0: [], 1: [pick.choice(words)], 2: [w, pick.choice(words)]}.get(pick.randrange(3) if pick.random() < rate else 9, [w])
+        return out
+
+    items = [(i, text(pick.choice([1, 2, 3, 8, 15, 40, 90]))) for i in range(24)] + [(None, text(12)), (5, text(20))]
+    items.append(items[3])  # the same row twice
+    docs = []
+    for d in range(140):
+        item = pick.choice(items)[1]
+        part = item[len(item) // 3 :][: pick.randint(1, 60)] if pick.random() < 0.3 else item
+        docs.append((None if d % 50 == 7 else d, text(pick.randint(0, 40)) + edited(part, pick.choice([0, 0.1, 0.2, 0.4])) + text(pick.randint(0, 40))))
+    docs += [docs[0], (200, []), (201, None)]
+    benchmark = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in items] + [(77, None), (78, " ,. ")], "item_id long, text string")
+    frame = spark.createDataFrame([(d, None if t is None else ", ".join(t)) for d, t in docs], "doc_id long, text string")
+    found = decontaminate.leaks(frame, benchmark).collect()
+    known = {(i, tuple(t)) for i, t in items}
+    trigrams = lambda t: set(zip(*(t[k:] for k in range(3))))
+    want, unseeded = [], 0
+    for d, t in docs:
+        for i, item in known:
+            points = plain_points(item, t or [])
+            if points >= len(item) or points >= 50:
+                if len(item) < 3 or trigrams(item) & trigrams(t):
+                    want.append((d is None, d or 0, i is None, i or 0, round(points / (2 * len(item)), 9)))
+                else:
+                    unseeded += 1
+    assert 10 * unseeded < len(want)  # no three words in a row are left of these
+    got = [(r.doc_id is None, r.doc_id or 0, r.item_id is None, r.item_id or 0, round(r.score, 9)) for r in found]
+    exact = [x for x in want if x[4] == 1.0]
+    assert sorted(x for x in got if x[4] == 1.0) == sorted(exact)
+    long = {i for i, t in known if len(t) >= 3}
+    assert sorted(x for x in got if (None if x[2] else x[3]) in long) == sorted(x for x in want if (None if x[2] else x[3]) in long)
+    for r in found:
+        assert r.end_word - r.first_word == len(r.passage.split())
+        assert any(round(plain_points(t, r.passage.split()) / (2 * len(t)), 9) == round(r.score, 9) for i, t in known if i == r.item_id)
+    leaking = {(d, " ".join(t)) for d, t in docs if t and any(plain_points(i, t) >= min(len(i), 50) and trigrams(i) & trigrams(t) for _, i in known if len(i) >= 3)}
+    kept = decontaminate.clean(frame, benchmark).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == sorted((d is None, d or 0, ", ".join(t or [])) for d, t in docs if (d, " ".join(t or [])) not in leaking)
+    few = decontaminate.clean(frame, benchmark, pass_words=60).count()
+    assert few == len(kept)
+
+
 def test_tokens_of_sections_sum_to_the_document(spark, docs, rows):
     file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=segments.ranks(file), special_tokens={})
