@@ -1,8 +1,8 @@
 """Tables that cut lineage, in the folder the cluster shares.
 
 A lost executor costs at most the tasks since the last written table. The
-folder is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-does this module set one of its own.
+folder is ``spark.checkpoint.dir``. Only in local mode (tests, a laptop), where
+one machine is all there is, does this module set one of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
