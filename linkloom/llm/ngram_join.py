@@ -1,16 +1,20 @@
 """Jaccard join of documents by a blocked product of the document by n-gram matrix.
 
-The columns of the matrix are dealt into blocks by hash. A first pass over the
-blocks accumulates, for each row, how many of its columns any other row has; a
-row for which that is below the bound that its size sets can't reach the
-threshold with any row, and is discarded. Of the few rows left, those are
-compared that meet in one of their first columns, the rarest first. The cells of
-a column go through one middle row, so a common column costs as many cells as it
-has rows, not their square.
+The matrix is cut into blocks of columns, and its product with itself is taken
+only where an entry can reach the threshold. A first pass over the blocks
+accumulates, for each row, how many of its columns any other row has; a row for
+which that is below the bound that its size sets is discarded. Of the rows left,
+a pair is an entry of the product if the two meet in one of their first columns,
+as many as their size sets, the rarest first; the cells of a column go through
+one middle row, so a common column costs as many entries as it has rows, not
+their square. Block by block, the columns that both rows of a pair have are
+counted and added up, and pairs below the bound of their sizes are discarded.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,11 +24,15 @@ from linkloom import scratch
 from linkloom.llm import arrow, runs, shingles
 from linkloom.llm.components import components
 
-#: N-grams of one block of columns, on average.
-BLOCK_GRAMS = 200_000
+#: N-grams of one block of columns of the first pass, on average; if that makes more than ``MANY_BLOCKS``, blocks are larger, up to ``WIDEN`` times.
+BLOCK_GRAMS, MANY_BLOCKS, WIDEN = 200_000, 20_000, 16
+#: Pieces of a block that one task takes; more are merged in several rounds.
+PIECES = 512
+#: Cells that a row has in a block of columns of the product, about: longer rows are cut into twice as many blocks, and again.
+ROW_CELLS = 4096
 #: The most documents whose ids are sent to every task; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
-#: Bytes of a hash that tell columns of one block, or rows, apart; that two rows look like one is as likely as 2^-40.
+#: Bytes of a hash that tell columns of one block apart; two that look like one are counted too often.
 _SHORT = 5
 
 
@@ -57,14 +65,27 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
-def _incidence(docs: DataFrame, n: int, blocks: int, text_col: str) -> DataFrame:
-    """The matrix, a row for each slice of documents and block of columns.
+def _piece(block: int, part: int, grams: np.ndarray, holder: np.ndarray, nodes: np.ndarray) -> tuple:
+    """A piece of a block: its columns, and in ``at`` the place in ``nodes`` of the one row that has each; the number of rows where several do."""
+    used, at = np.unique(holder, return_inverse=True)
+    own = nodes[used[:-1] if used[-1] == len(nodes) else used]
+    return block, part, _packed(grams), at.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), own.astype("<i8").tobytes()
 
-    ``grams`` are the block's columns in the slice, ``at`` the one distinct row
-    that has each, or the number of rows if several do, ``nodes`` the distinct
-    rows. A row without ``grams`` has in ``at`` each distinct row's count of
-    columns that another row of the slice has.
-    """
+
+def _counts(block: int, part: int, nodes: np.ndarray, met: np.ndarray) -> tuple:
+    """A piece without columns: each row's count of columns that another row has."""
+    return block, part, b"", met.astype("<u4").tobytes(), nodes.astype("<i8").tobytes()
+
+
+_PIECE = "block long, part long, grams binary, at binary, nodes binary"
+
+
+def _pieces(found: list[tuple]) -> tuple[list[pa.Array], list[str]]:
+    return [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "part", "grams", "at", "nodes"]
+
+
+def _incidence(docs: DataFrame, n: int, blocks: int, text_col: str) -> DataFrame:
+    """The matrix as pieces, one for each slice of documents and block of columns; columns that several rows of a slice have are counted in place."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -78,89 +99,176 @@ def _incidence(docs: DataFrame, n: int, blocks: int, text_col: str) -> DataFrame
         nodes, own = np.array(list(sets), np.int64), np.concatenate(list(sets.values()))
         at = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
         grams, place, counts = np.unique(own, return_inverse=True, return_counts=True)
-        local = np.bincount(at[counts[place] > 1], minlength=len(nodes))
         holder = np.empty(len(grams), np.int64)
         holder[place] = at
         holder[counts > 1] = len(nodes)
         block = (shingles.mix(grams) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-        out = [(int(nodes[0]) % blocks, b"", local.astype(np.uint32).tobytes(), _packed(nodes))]
+        part = int(shingles.mix(nodes[:1].view(np.uint64))[0] >> np.uint64(1))
+        out = [_counts(int(nodes[0]) % blocks, part, nodes, np.bincount(at[counts[place] > 1], minlength=len(nodes)))]
         for k in np.flatnonzero(np.diff(cuts)).tolist():
-            part = order[cuts[k] : cuts[k + 1]]
-            used, short = np.unique(holder[part], return_inverse=True)
-            out.append((k, _packed(grams[part].view(np.int64)), short.astype(np.uint16).tobytes(), _packed(nodes[used[:-1] if used[-1] == len(nodes) else used])))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[c] for x in out], pa.binary()) for c in (1, 2, 3))], names=["block", "grams", "at", "nodes"])
+            some = order[cuts[k] : cuts[k + 1]]
+            out.append(_piece(k, part, grams[some].view(np.int64), holder[some], nodes))
+        columns, names = _pieces(out)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return arrow.map_text(rows, of_slice, _PIECE)
 
-    return arrow.map_text(rows, of_slice, "block long, grams binary, at binary, nodes binary")
 
+def _merged(table: pa.Table, last: bool) -> list[tuple]:
+    """One piece for several of a block, and the counts of rows that meet another there; the last round needs the counts alone.
 
-def _met(table: pa.Table) -> pa.Table:
-    """For one block, each row's count of columns that another row has; and the counts that slices knew themselves."""
-    grams, rows, known, nodes, counts = [], [], [], [], []
+    A row is counted for a column where the two pieces meet that first have it in
+    different rows; from then on, the column is one that several rows have.
+    """
+    block, part = table["block"][0].as_py(), table["part"][0].as_py()
+    grams, rows, known, out = [], [], [], []
     for g, a, v in zip(table["grams"].to_pylist(), table["at"].to_pylist(), table["nodes"].to_pylist()):
-        own = _unpacked(v)
         if not g:
-            nodes.append(own)
-            counts.append(np.frombuffer(a, np.uint32).astype(np.int64))
+            out.append((block, part, g, a, v))
             continue
-        short = np.frombuffer(a, np.uint16)
-        grams.append(_unpacked(g))
-        known.append(short < len(own))
-        rows.append(np.append(own, 0)[short])
-    if grams:
-        gram, row, single = np.concatenate(grams), np.concatenate(rows), np.concatenate(known)
-        order = np.lexsort((row, single, gram))
-        gram, row, single = gram[order], row[order], single[order]
-        heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(gram))))
-        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]) | (single[1:] != single[:-1])])
-        distinct = np.bincount(place[new], minlength=len(heads))
-        several = ~single[heads]  # sorted first: some slice has it in several rows
-        some, met = np.unique(row[single & new & (several | (distinct > 1))[place]], return_counts=True)
-        nodes.append(some)
-        counts.append(met.astype(np.int64))
-    return pa.table({"short": pa.array(np.concatenate(nodes)), "met": pa.array(np.concatenate(counts))})
+        own, columns = np.frombuffer(v, "<i8"), _unpacked(g)
+        at = np.frombuffer(a, "<u2" if len(a) == 2 * len(columns) else "<u4")
+        grams.append(columns)
+        known.append(at < len(own))
+        rows.append(np.append(own, 0)[at])
+    if not grams:
+        return out
+    gram, row, single = np.concatenate(grams), np.concatenate(rows), np.concatenate(known)
+    order = np.lexsort((row, single, gram))
+    gram, row, single = gram[order], row[order], single[order]
+    heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(gram))))
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]) | (single[1:] != single[:-1])])
+    distinct = np.bincount(place[new], minlength=len(heads))
+    shared = ~single[heads] | (distinct > 1)  # sorted first: some piece has it in several rows
+    some, met = np.unique(row[single & new & shared[place]], return_counts=True)
+    if len(some):
+        out.append(_counts(block, part, some, met))
+    if not last:
+        nodes, holder = np.unique(row[heads], return_inverse=True)
+        out.append(_piece(block, part, gram[heads], np.where(shared, len(nodes), holder), nodes))
+    return out
+
+
+def _summed(found: list[tuple]) -> pa.Table:
+    """``short, met`` of pieces that are counts."""
+    nodes = np.concatenate([np.frombuffer(x[4], "<i8") for x in found]) if found else np.zeros(0, np.int64)
+    met = np.concatenate([np.frombuffer(x[3], "<u4") for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+    return pa.table({"d1": pa.array(nodes), "met": pa.array(met)})
+
+
+def _met(matrix: DataFrame, pieces: int) -> DataFrame:
+    """``d1, met``: each row's count of columns that another row has, from about so many pieces of each block.
+
+    A task never has more than about ``PIECES`` of a block: if there are more,
+    they are merged by groups, and the merged ones again, so a column that every
+    slice has is one entry of a few pieces in the end.
+    """
+
+    def between(table: pa.Table) -> pa.Table:
+        columns, names = _pieces(_merged(table, False))
+        return pa.table(dict(zip(names, columns)))
+
+    counted = None
+    while (groups := -(-pieces // PIECES)) > 1:
+        merged = scratch.written(matrix.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("block", "part").applyInArrow(between, _PIECE), "pieces")
+        matrix, pieces = merged.where(F.length("grams") > 0), groups
+        told = merged.where(F.length("grams") == 0).mapInArrow(_flat, "d1 long, met long")
+        counted = told if counted is None else counted.unionByName(told)
+    last = matrix.groupBy("block").applyInArrow(lambda t: _summed(_merged(t, True)), "d1 long, met long")
+    return (last if counted is None else last.unionByName(counted)).groupBy("d1").agg(F.sum("met").alias("met"))
+
+
+def _flat(batches):
+    for batch in batches:
+        found = [(None, None, None, a, v) for a, v in zip(arrow.col(batch, "at").to_pylist(), arrow.col(batch, "nodes").to_pylist())]
+        yield from _summed(found).to_batches()
 
 
 def _left(docs: DataFrame, rows: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
-    """``d1, met`` of the sets that have enough columns in common with others, taken together.
+    """``d1`` of the sets that have enough columns in common with others, taken together.
 
     A row can be counted more than once for a column that several slices have
     with other copies of it, never less; so none that links is discarded.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
-    matrix = _incidence(docs, n, max(1, -(-total // BLOCK_GRAMS)), text_col)
-    met = matrix.groupBy("block").applyInArrow(_met, "short long, met long").groupBy("short").agg(F.sum("met").alias("met"))
-    sizes = rows.where("size > 0").groupBy("d1").agg(F.min("size").alias("size")).withColumn("short", F.col("d1").bitwiseAND(F.lit((1 << 8 * _SHORT) - 1)))
-    return sizes.join(met, "short").where(F.col("met") * 100 >= F.col("size") * share).select("d1")
+    blocks = max(1, -(-total // BLOCK_GRAMS))
+    if blocks > MANY_BLOCKS:
+        blocks = max(MANY_BLOCKS, -(-blocks // WIDEN))
+    # a slice has so many columns at least, unless it is a partition's last; 4 MB of text are some 500,000 words
+    met = _met(_incidence(docs, n, blocks, text_col), -(-total // 300_000))
+    sizes = rows.where("size > 0").groupBy("d1").agg(F.min("size").alias("size"))
+    return sizes.join(met, "d1").where(F.col("met") * 100 >= F.col("size") * share).select("d1")
+
+
+def _level(size: int) -> int:
+    """A row of that size is cut into 2 ** level blocks of columns."""
+    return (max(0, size - 1) // ROW_CELLS).bit_length()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, grams`` of the documents in ``nodes``; their ids are broadcast only if few."""
+def _blocks(size: str):
+    """How many that is, for an expression of the size."""
+    return F.expr(f"shiftleft(1L, if({size} <= {ROW_CELLS}, 0, length(bin(({size} - 1) div {ROW_CELLS}))))")
+
+
+def _cells(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, size, block, grams``: the rows in ``nodes``, cut into blocks of columns by size. Their ids are broadcast only if few."""
     rows = arrow.base(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = rows.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("node"), "left_semi")
 
-    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles.shingle_set(shingles.lower_words(t), n).view(np.int64) for t in arrow.texts(batch)]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([arrow.col(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "grams"])
+    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at, told, parts = [], [], []
+        for i, text in enumerate(arrow.texts(batch)):
+            grams = shingles.shingle_set(shingles.lower_words(text), n)
+            block = (grams & np.uint64((1 << _level(len(grams))) - 1)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            used, starts = np.unique(block[order], return_index=True)
+            for k, part in zip(used.tolist(), np.split(grams[order], starts[1:])):
+                at.append(i)
+                told.append((len(grams), k))
+                parts.append(part.view(np.int64))
+        if not at:
+            return None
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        columns = [pa.array(c, pa.int64()) for c in zip(*told)]
+        return pa.RecordBatch.from_arrays([arrow.col(batch, "doc_id").take(pa.array(at)), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["node", "size", "block", "grams"])
+
+    return arrow.map_text(rows, of_slice, "node long, size long, block long, grams array<long>")
+
 
-    return arrow.map_text(rows, of_slice, "node long, grams array<long>")
+def _cut(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(p, q, p_size, q_size)`` with ``a``, the longer row, ``b``, the other, and how many blocks each is cut into."""
+    longer = F.expr("p_size > q_size or (p_size = q_size and p < q)")
+    cut = pairs.withColumn("a", F.when(longer, F.col("p")).otherwise(F.col("q"))).withColumn("b", F.when(longer, F.col("q")).otherwise(F.col("p")))
+    return cut.withColumn("a_blocks", _blocks("greatest(p_size, q_size)")).withColumn("b_blocks", _blocks("least(p_size, q_size)"))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Each pair ``(p, q)`` with the true overlap accumulated: the n-grams that one of them lacks, and whether they link."""
-    p = sets.select(F.col("node").alias("p"), F.col("grams").alias("of_p"))
-    q = sets.select(F.col("node").alias("q"), F.col("grams").alias("of_q"))
-    joined = pairs.join(q, "q").join(p, "p").withColumn("added", F.array_except("of_q", "of_p")).withColumn("lost", F.array_except("of_p", "of_q"))
-    apart, sizes = F.size("added") + F.size("lost"), F.size("of_p") + F.size("of_q")
-    return joined.select("p", "q", F.size("of_p").alias("p_size"), F.size("of_q").alias("q_size"), "added", "lost", (apart * (100 + share) <= sizes * (100 - share)).alias("linked"))
+def _of(cells: DataFrame, side: str) -> DataFrame:
+    return cells.select(F.col("node").alias(side), F.col("block").alias(f"{side}_block"), F.col("grams").alias(f"of_{side}"))
+
+
+def _product(pairs: DataFrame, cells: DataFrame, share: int) -> DataFrame:
+    """The entries of the product that ``pairs`` names: ``overlap`` added up over the blocks, and whether it links.
+
+    A block of the longer row meets the block of the other that has its columns.
+    """
+    blocks = _cut(pairs).join(_of(cells, "a"), "a").withColumn("b_block", F.col("a_block").bitwiseAND(F.col("b_blocks") - 1)).join(_of(cells, "b"), ["b", "b_block"])
+    met = blocks.select("p", "q", "p_size", "q_size", F.size(F.array_intersect("of_b", "of_a")).alias("n"))
+    summed = met.groupBy("p", "q", "p_size", "q_size").agg(F.sum("n").alias("overlap"))
+    return summed.withColumn("linked", F.col("overlap") * (100 + share) >= (F.col("p_size") + F.col("q_size")) * share)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("q").alias("node"))).distinct()
+def _differences(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """A row for each column that one row of a pair has and the other lacks, in ``gram``; block by block."""
+    cut = _cut(pairs).withColumn("a_block", F.explode(F.expr("sequence(0L, a_blocks - 1)"))).withColumn("b_block", F.col("a_block").bitwiseAND(F.col("b_blocks") - 1))
+    both = cut.join(_of(cells, "a"), ["a", "a_block"], "left").join(_of(cells, "b"), ["b", "b_block"], "left")
+    own = F.expr("if(a_blocks = b_blocks, of_b, filter(of_b, x -> (x & (a_blocks - 1)) = a_block))")
+    none = F.array().cast("array<long>")
+    both = both.withColumn("of_a", F.coalesce("of_a", none)).withColumn("of_b", F.coalesce(own, none))
+    return both.select(*pairs.columns, F.explode(F.concat(F.array_except("of_b", "of_a"), F.array_except("of_a", "of_b"))).alias("gram"))
 
 
 def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -168,11 +276,11 @@ def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
 
     Two documents link if ``share`` percent of the union of their ``n``-word
     shingles are in both. Documents with equal sets are stood for by the least
-    id. Of the others, those that meet in a first column are compared with the
-    one among them that meets most. Where that leaves several components, the
-    differences from that middle document tell which others can link, see
-    :func:`_rest`. No pair within a component is built for its own sake, and no
-    link that joins two components is lost.
+    id. Of the others, those that meet in a first column are entries of the
+    product with the one among them that meets most. Where that leaves several
+    components, the differences from that middle document tell which other
+    entries can link, see :func:`_rest`. No pair within a component is built for
+    its own sake, and no link that joins two components is lost.
 
     Null and empty texts, and those without words, have no shingles and no
     links; rows with a null id have no links; rows with one id are one document,
@@ -185,39 +293,44 @@ def join(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     same = some.select("d1", "d2", "doc_id").join(least, ["d1", "d2"]).where("doc_id <> least").select(F.col("doc_id").alias("p"), F.col("least").alias("q"))
 
     left = scratch.written(least.join(_left(docs, rows, n, share, text_col), "d1", "left_semi").select(F.col("least").alias("node")).distinct(), "left")
-    sets = scratch.written(_sets(docs, left, n, id_col, text_col), "sets")
-    shared = scratch.written(_first_columns(sets, share), "shared")
+    cells = scratch.written(_cells(docs, left, n, id_col, text_col), "cells")
+    scratch.release(left)
+    shared = scratch.written(_first_columns(cells, share), "shared")
 
     weight = shared.groupBy("node").agg(F.sum("often").alias("w"))
-    middle = shared.join(weight, "node").groupBy("gram").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("m"))).alias("x")).select("gram", (-F.col("x.m")).alias("p"))
-    star = scratch.written(shared.join(middle, "gram").where("node <> p").select("p", F.col("node").alias("q")).distinct(), "star")
-    compared = scratch.written(_compared(star, sets, share), "compared")
-    links = compared.where("linked").select("p", "q")
+    middle = shared.join(weight, "node").groupBy("gram").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("m"), "size")).alias("x")).select("gram", (-F.col("x.m")).alias("p"), F.col("x.size").alias("p_size"))
+    star = shared.join(middle, "gram").where("node <> p").select("p", F.col("node").alias("q"), "p_size", F.col("size").alias("q_size")).distinct()
+    entries = scratch.written(_product(star, cells, share), "entries")
+    scratch.release(shared)
 
-    found = scratch.written(components(links, "p", "q"), "components")
-    more = _compared(_rest(compared, found, share), sets, share).where("linked").select("p", "q")
-    return rows.select("doc_id", "size"), components(links.unionByName(more).unionByName(same), "p", "q")
+    found = scratch.written(components(entries.where("linked").select("p", "q"), "p", "q"), "components")
+    more = _product(_rest(entries, found, cells, share), cells, share)
+    links = entries.where("linked").select("p", "q").unionByName(more.where("linked").select("p", "q")).unionByName(same)
+    linked = components(links, "p", "q")
+    for table in (cells, entries, found):
+        scratch.release(table)
+    return rows.select("doc_id", "size"), linked
 
 
-def _first_columns(sets: DataFrame, share: int) -> DataFrame:
-    """``gram, node, often`` of each set's first columns, the rarest first, that other sets have too.
+def _first_columns(cells: DataFrame, share: int) -> DataFrame:
+    """``gram, node, size, often`` of each set's first columns, the rarest first, that other sets have too.
 
     With ``share`` percent of the union in both, at least ``share`` percent of
     each set is in both; so one of a set's first columns, one more than it can
     lack, is among the other's first. Columns of one row come before all others.
     """
-    cells = sets.select("node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    shared = scratch.written(runs.scan(cells, ["gram"], "node", at_least=2, name="cells").distinct(), "cells")
+    each = cells.select("node", "size", F.explode("grams").alias("gram"))
+    shared = scratch.written(runs.scan(each, ["gram"], "node", at_least=2, name="cells").distinct(), "cells")
     often = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     own = Window.partitionBy("node")
     alone = F.col("size") - F.count(F.lit(1)).over(own)
     rank = F.row_number().over(own.orderBy("often", "gram")) + alone
     first = F.col("size") - F.ceil(F.col("size") * share / 100 - 1e-9) + 1
-    return shared.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= first).select("gram", "node", "often")
+    return shared.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= first).select("gram", "node", "size", "often")
 
 
-def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
-    """Pairs in different components that may link, of documents compared with the same middle ``p``.
+def _rest(entries: DataFrame, found: DataFrame, cells: DataFrame, share: int) -> DataFrame:
+    """Pairs in different components that may link, of documents that meet the same middle ``p`` in the product.
 
     For sets s and y with differences S and Y from p, s and y are
     |S| + |Y| - 2 |S & Y| apart, and |S| and |Y| differ by no more than that. One
@@ -229,19 +342,17 @@ def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
     """
     of_p = found.select(F.col("node").alias("p"), F.col("component").alias("p_component"))
     of_q = found.select(F.col("node").alias("q"), F.col("component").alias("q_component"))
-    told = compared.join(of_p, "p", "left").join(of_q, "q", "left").withColumn("p_component", F.coalesce("p_component", "p")).withColumn("component", F.coalesce("q_component", "q"))
-    told = told.withColumn("outside", F.expr("component <> p_component")).drop("q_component", "p_component", "linked")
+    told = entries.join(of_p, "p", "left").join(of_q, "q", "left").withColumn("p_component", F.coalesce("p_component", "p")).withColumn("component", F.coalesce("q_component", "q"))
+    told = told.withColumn("outside", F.expr("component <> p_component")).withColumn("d", F.expr("p_size + q_size - 2 * overlap")).drop("q_component", "p_component", "linked", "overlap")
     told = told.join(told.where("outside").select("p").distinct(), "p", "left_semi")
 
     ratio = (100 - share) / (100 + share)
-    distance = F.size("added") + F.size("lost")
+    distance = F.col("d")
     reach = F.floor(F.col("q_size") * (1 + 100 / share) * ratio + 1e-9)
     half = F.floor((distance + (F.col("p_size") - F.col("q_size")) * ratio) / 2 + 1e-9) + 1
     as_s = F.greatest(F.lit(1), distance - reach)
     told = told.withColumn("as_s", as_s).withColumn("as_y", F.greatest(as_s, half))
-    told = told.withColumn("d", distance)
-    keep = ["p", "q", "q_size", "component", "outside", "as_s", "as_y", "d"]
-    grams = told.select(*keep, F.explode(F.concat("added", "lost")).alias("gram"))
+    grams = _differences(told, cells)
     often = grams.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
     own = Window.partitionBy("p", "q")
     grams = grams.join(often, ["p", "gram"]).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("often", "gram")))
@@ -253,7 +364,8 @@ def _rest(compared: DataFrame, found: DataFrame, share: int) -> DataFrame:
     # what S and Y can have in common before, at and after this n-gram, against what a link takes
     enough = F.expr(f"2 * (least(s_rank, y_rank) + least(s_n - s_rank, y_n - y_rank)) >= s_d + y_d - (s_q_size + y_q_size) * {100 - share} div {100 + share}")
     pairs = s.join(y, ["p", "gram"]).where(F.expr("s_component <> y_component") & fits & enough)
-    return pairs.select(F.least("s_q", "y_q").alias("p"), F.greatest("s_q", "y_q").alias("q")).distinct()
+    ends = F.expr("if(s_q < y_q, struct(s_q as p, y_q as q, s_q_size as p_size, y_q_size as q_size), struct(y_q as p, s_q as q, y_q_size as p_size, s_q_size as q_size))")
+    return pairs.select(ends.alias("x")).select("x.*").distinct()
 
 
 def classes(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,5 +377,6 @@ def classes(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id"
 def one_of_each(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component; those without an id or without words all stay."""
     _, found = join(docs, n, share, id_col, text_col)
-    others = found.where("node <> component").select(F.col("node").alias("_node"))
-    return docs.join(others, F.col(id_col).cast("long") == F.col("_node"), "left_anti")
+    name = f"node-{uuid.uuid4().hex}"  # no column of docs has it
+    others = found.where("node <> component").select(F.col("node").alias(name))
+    return docs.join(others, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from linkloom.llm import bpe, line_dedup, ngram_join, quality, secret_scan, segments, span_dedup, sql, token_files
+from linkloom.llm import arrow, bpe, line_dedup, ngram_join, quality, secret_scan, segments, span_dedup, sql, token_files
 from tests.llm import brute
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -218,6 +218,22 @@ def test_ngram_join_in_many_blocks_and_by_joined_ids(docs, rows, monkeypatch):
     assert collected(ngram_join.classes(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.op10(rows))
 
 
+def test_ngram_join_of_rows_cut_into_blocks_and_of_pieces_merged_in_rounds(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROW_CELLS", 20)
+    monkeypatch.setattr(ngram_join, "PIECES", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 5000)
+    met = ngram_join._met
+    monkeypatch.setattr(ngram_join, "_met", lambda matrix, pieces: met(matrix, 9))
+    monkeypatch.setattr(arrow, "SLICE_ROWS", 16)
+    for n, share in ((3, 90), (2, 60)):
+        plain = [(d, brute.shingles(t, n)) for d, t in rows]
+        found = collected(ngram_join.classes(docs, n, share), "doc_id", "n_shingles", "component_id")
+        assert [r[1] for r in found] == [len(s) for _, s in sorted(plain, key=lambda x: x[0])]
+        with monkeypatch.context() as own:
+            own.setattr(brute, "shingles", lambda t, of=dict(plain), texts={t: d for d, t in rows}: of[texts[t]])
+            assert found == sorted(brute.op10(rows, share))
+
+
 def test_one_of_each_group_stays(docs, rows):
     want = [d for d, _, c in sorted(brute.op10(rows)) if d == c]
     assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == want
