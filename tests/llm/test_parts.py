@@ -163,28 +163,76 @@ def test_leaks_against_all_alignments_of_all_documents_and_items(spark):
     assert few == len(kept)
 
 
-def test_tokens_of_sections_sum_to_the_document(spark, docs, rows):
-    file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=segments.ranks(file), special_tokens={})
-    for rule in token_counts.RULES:
-        by_doc = {}
-        for r in token_counts.by_section(docs, file, public_tokenizers.PATTERN, rule).collect():
-            by_doc.setdefault(r.doc_id, []).append(r)
-        for doc_id, text in rows:
-            own = sorted(by_doc[doc_id], key=lambda r: r.section)
-            cuts = text.split("\n")
-            spans = [x + "\n" for x in cuts[:-1]] + ([cuts[-1]] if cuts[-1] or len(cuts) == 1 else [])
-            assert [r.n_chars for r in own] == [len(x) for x in spans]
-            ids = coder.encode_ordinary(text)
-            assert sum(r.n_tokens for r in own) == len(ids)
-            if rule == "first":
-                sizes = [len(coder.decode_single_token_bytes(i)) for i in ids]
-                starts, ends = [sum(sizes[:k]) for k in range(len(sizes))] if len(sizes) < 400 else None, np.cumsum([len(x.encode()) for x in spans])
-                if starts is not None:
-                    want = [0] * len(spans)
-                    for s in starts:
-                        want[int(np.searchsorted(ends, s, "right"))] += 1
-                    assert [r.n_tokens for r in own] == want
+RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def plain_allocation(coder, text, sections, rule):
+    """Tokens of each ``(start, end)`` in code points, none of which overlap, and those that reach out of it; byte by byte."""
+    byte = [0]
+    for c in text:
+        byte.append(byte[-1] + len(c.encode()))
+    owner = [None] * byte[-1]
+    for k, (a, b) in enumerate(sections):
+        owner[byte[a] : byte[b]] = [k] * (byte[b] - byte[a])
+    # what lies between sections is a section of its own here
+    gap = 0
+    for i, o in enumerate(owner):
+        if o is None:
+            owner[i] = -1 - gap
+        elif i + 1 < len(owner) and owner[i + 1] is None:
+            gap += 1
+    counts, crossing, at = {}, {}, 0
+    for n in coder.encode_ordinary(text):
+        end = at + len(coder.decode_single_token_bytes(n))
+        own = owner[at:end]
+        k = own[0] if rule == "first" else own[-1] if rule == "last" else max(dict.fromkeys(own), key=own.count)
+        k2 = max(k, -1)
+        counts[k2] = counts.get(k2, 0) + 1
+        crossing[k2] = crossing.get(k2, 0) + (len(set(own)) > 1)
+        at = end
+    return counts, crossing
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_tokens_of_lines(spark, docs, rows, rule):
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=segments.ranks(RANKS_50K), special_tokens={})
+    more = [(1000, "a\n\n\n\nb  \n \n中\n\n\n"), (1001, "\n"), (1002, ""), (1002, ""), (None, "x\n\n\ny"), (1003, None), (1003, "\n\n  \n\n")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = []
+    for doc_id, text in rows + more:
+        cuts = (text or "").split("\n")
+        spans = [x + "\n" for x in cuts[:-1]] + ([cuts[-1]] if cuts[-1] or len(cuts) == 1 else [])
+        ends = np.cumsum([len(x) for x in spans]).tolist()
+        counts, crossing = plain_allocation(coder, text or "", list(zip([0, *ends[:-1]], ends)), rule)
+        want += [(doc_id or -1, k, b - len(x), len(x), counts.get(k, 0), crossing.get(k, 0)) for k, (x, b) in enumerate(zip(spans, ends))]
+    found = token_counts.by_section(df, RANKS_50K, public_tokenizers.PATTERN, rule).collect()
+    assert sorted((r.doc_id or -1, *r[1:]) for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_tokens_of_given_sections_and_fields(spark, rule):
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=segments.ranks(RANKS_50K), special_tokens={})
+    pick = random.Random(9)
+    texts = ["".join(pick.choice([*ODD, "longerword", "  ", "the"]) for _ in range(pick.randint(0, 40))) for _ in range(200)]
+    spans, want = [], []
+    for d, text in enumerate(texts):
+        ends = sorted(pick.sample(range(len(text) + 1), min(len(text) + 1, 2 * pick.randint(0, 4)) // 2 * 2))
+        own = list(zip(ends[::2], ends[1::2]))
+        spans += [(d, f"s{k}", a, b) for k, (a, b) in enumerate(own)]
+        counts, crossing = plain_allocation(coder, text, own, rule)
+        want += [(d, f"s{k}", a, b - a, counts.get(k, 0), crossing.get(k, 0)) for k, (a, b) in enumerate(own)]
+        outside = len(text) - sum(b - a for a, b in own)
+        if outside or not text:
+            want.append((d, "", None, outside, counts.get(-1, 0), crossing.get(-1, 0)))
+    spans += [(None, "x", 0, 1), (9999, "x", 0, 1), (3, "x", None, 1)]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in enumerate(texts)], "doc_id long, text string, given string")
+    sections = spark.createDataFrame(spans, "doc_id long, section string, start_char long, end_char long")
+    found = token_counts.by_given_sections(docs, sections, RANKS_50K, public_tokenizers.PATTERN, rule).collect()
+    assert sorted((r.doc_id, r.section or "", r.start_char if r.section else -1, *r[3:]) for r in found) == sorted((d, s, -1 if a is None else a, *x) for d, s, a, *x in want)
+    assert token_counts.tiles([(0, 5), (3, 9), (3, 4), (20, 30)], 12) == ([0, 3, 4, 12], [0, 2, -1])
+    fields = token_counts.by_field(spark.createDataFrame([(1, "a title", "the body of it"), (2, None, ""), (None, "x", None)], "doc_id long, title string, body string"), ["title", "body"], RANKS_50K, public_tokenizers.PATTERN, rule)
+    assert sorted((r.doc_id or 0, r.section, r.start_char, r.n_chars, r.n_tokens) for r in fields.collect()) == [(0, "body", 2, 0, 0), (0, "title", 0, 2, 2), (1, "body", 8, 14, 4), (1, "title", 0, 8, 3), (2, "body", 1, 0, 0), (2, "title", 0, 1, 1)]
+    assert token_counts.by_given_sections(docs.limit(0), sections, RANKS_50K, public_tokenizers.PATTERN).count() == 0
 
 
 def test_allocation_rules():
