@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +35,21 @@ def split(df: DataFrame, key: str, test: float = TEST_SHARE, seed: int = SPLIT_S
 
 
 def folds(df: DataFrame, key: str, label: str | None, n: int, seed: int = FOLD_SEED, repeat: int = 0) -> DataFrame:
-    """Adds ``fold`` in [0, n): within each label (or over all without one) rows are dealt in order of a hash."""
-    own = Window.partitionBy(*([label] if label else [])).orderBy(F.md5(F.concat(F.lit(f"fold{seed}.{repeat}:"), F.col(key).cast("string"))), key)
-    return df.withColumn("fold", ((F.row_number().over(own) - 1) % n).cast("int"))
+    """Adds ``fold`` in [0, n): within each label (or over all without one) rows are dealt in order of a hash.
+
+    Rows are numbered by ranges of (label, hash), so a label fills many tasks; a
+    count for each range and label says how many come before. The result is read
+    from a written table.
+    """
+    own = F.col(label) if label else F.lit(0)
+    ranged = df.withColumn("_label", own).withColumn("_hash", F.md5(F.concat(F.lit(f"fold{seed}.{repeat}:"), F.col(key).cast("string"))))
+    ranged = written(ranged.repartitionByRange("_label", "_hash", key).withColumn("_part", F.spark_partition_id()), "folds")
+    before = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_part", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(F.col("_part").alias("_p"), F.col("_label").alias("_l"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part", "_label").orderBy("_hash", key)) - 1)
+    dealt = numbered.join(F.broadcast(counts), (F.col("_part") == F.col("_p")) & F.col("_label").eqNullSafe(F.col("_l")))
+    return dealt.select(*df.columns, ((F.col("_row") + F.col("_before")) % n).cast("int").alias("fold"))
 
 
 def param_grid(space: dict[str, list]) -> list[dict]:
@@ -64,6 +77,12 @@ def gbt(params: dict, features: str = "features", label: str = "link", weight: s
     return model.setWeightCol(weight) if weight else model
 
 
+def gbt_regressor(params: dict, features: str = "features", label: str = "link", weight: str | None = None, seed: int = SPLIT_SEED) -> GBTRegressor:
+    """Boosted trees with squared loss, for a target that isn't a class."""
+    model = GBTRegressor(featuresCol=features, labelCol=label, maxIter=int(params.get("n_estimators", 20)), maxDepth=int(params.get("max_depth", 5)), seed=seed)
+    return model.setWeightCol(weight) if weight else model
+
+
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
@@ -78,6 +97,10 @@ def auc(df: DataFrame) -> float:
     return BinaryClassificationEvaluator(labelCol="link", rawPredictionCol="rawPrediction").evaluate(df)
 
 
+def neg_mean_squared_error(df: DataFrame, label: str = "link") -> float:
+    return -RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse").evaluate(df)
+
+
 def tune(
     df: DataFrame,
     columns: list[str],
@@ -96,27 +119,31 @@ def tune(
 ) -> tuple[dict, Model, DataFrame]:
     """``(best parameters, model refitted on all rows, scores)`` by repeated k-fold cross-validation.
 
-    Folds are stratified for a classifier. ``search_type`` is ``grid`` or
-    ``random`` (a seeded sample of the grid). ``scoring`` maps names to functions
+    Folds are stratified for a classifier (``modeltype`` ``clf``, scored by the
+    area under the curve), not for a regressor (``reg``, scored by the negative
+    mean squared error), and written once for each repeat. ``search_type`` is
+    ``grid`` or ``random`` (a seeded sample of the grid). ``scoring`` maps names to functions
     of transformed rows; the best mean of ``refit`` wins, ties by grid order.
     ``scores`` has ``params, repeat, fold, metric, score``; the best parameters
     get ``threshold``, where true and false positive rates of the refitted model
     are furthest apart on all rows.
     """
-    scoring = scoring or {"roc_auc": auc}
+    if modeltype not in ("clf", "reg"):
+        raise ValueError(f"no such kind of model: {modeltype}")
+    scoring = scoring or ({"roc_auc": auc} if modeltype == "clf" else {"neg_mean_squared_error": lambda out: neg_mean_squared_error(out, label)})
     refit = refit or next(iter(scoring))
     grid = param_grid(space)
     if search_type == "random":
         grid = random.Random(random_state).sample(grid, min(n_iter_random, len(grid)))
     elif search_type != "grid":
         raise ValueError(f"no such search: {search_type}")
-    build = estimator or gbt
+    build = estimator or (lambda p: (gbt if modeltype == "clf" else gbt_regressor)(p, label=label))
     ready = assembled(df, columns)
+    repeats = [folds(ready, key, label if modeltype == "clf" else None, n_splits, random_state, repeat) for repeat in range(n_repeats)]
     rows, means = [], []
     for n, params in enumerate(grid):
         total = 0.0
-        for repeat in range(n_repeats):
-            dealt = folds(ready, key, label if modeltype == "clf" else None, n_splits, random_state, repeat)
+        for repeat, dealt in enumerate(repeats):
             for fold in range(n_splits):
                 model = build(params).fit(dealt.where(F.col("fold") != fold))
                 out = model.transform(dealt.where(F.col("fold") == fold))

@@ -15,8 +15,8 @@ from linkloom.sources import graphs
 
 START, DEPTH = 0, 2
 PART_WORDS = ["widget", "small"]
-#: Drawn pairs for the feature queries and for the model.
-DRAWN, MODEL_DRAWN = 5000, 3000
+#: Drawn pairs for the model's queries, which fit few and small trees: a fit is what the whole grid has 25 of.
+MODEL_DRAWN, MODEL_GRID = 3000, {"n_estimators": [3], "max_depth": [2, 3]}
 
 
 def _edges(spark, sf):
@@ -31,8 +31,8 @@ def _nodes(spark, sf):
     return graphs.part_nodes(spark, sf)
 
 
-def _candidates(spark, sf, **more):
-    pairs = written(_pairs(spark, sf), "pairs")
+def _candidates(spark, sf, pairs=None, **more):
+    pairs = written(_pairs(spark, sf), "pairs") if pairs is None else pairs
     cuts = similarity.thresholds(pairs)
     return cand.candidates(pairs, _nodes(spark, sf), cuts.select("weak").scalar(), cuts.select("strong").scalar(), **more)
 
@@ -49,15 +49,11 @@ def _distance(spark, sf):
     return similarity.distance(similarity.affinity(written(_pairs(spark, sf), "pairs")))
 
 
-def _sample(spark, sf, edges, found, n):
-    return features.sample_pairs(spark, _linked_nodes(edges), found, n)
-
-
 def _features(spark, sf, train, keep=()):
     edges = written(_edges(spark, sf), "edges")
     pairs = written(similarity.pairs(edges), "pairs")
-    found = written(_candidates(spark, sf), "candidates")
-    chosen = _sample(spark, sf, edges, found, DRAWN) if train else found.where("similarity > 0").select("i", "j")
+    found = written(_candidates(spark, sf, pairs), "candidates")
+    chosen = features.sample_pairs(spark, _linked_nodes(edges), found) if train else found.where("similarity > 0").select("i", "j")
     return features.build(chosen, _known(spark, sf), edges, pairs, train, keep)
 
 
@@ -182,7 +178,8 @@ def top_k_candidates(spark, sf):
 
 def train_pair_sample(spark, sf):
     edges = written(_edges(spark, sf), "edges")
-    return _sample(spark, sf, edges, _candidates(spark, sf), DRAWN)
+    found = written(_candidates(spark, sf, written(similarity.pairs(edges), "pairs")), "candidates")
+    return features.sample_pairs(spark, _linked_nodes(edges), found)
 
 
 def features_candidates(spark, sf):
@@ -299,13 +296,14 @@ def start_cluster_members(spark, sf):
 
 def gbt_grid_search(spark, sf):
     edges = written(_edges(spark, sf), "edges")
-    rows = features.build(_balanced(spark, sf, edges), _known(spark, sf), edges, written(similarity.pairs(edges), "pairs"), True, ("k",))
-    return model.tune(written(rows, "train"), link_prediction.FEATURES, {"n_estimators": [3], "max_depth": [2, 3]}, n_splits=2, n_repeats=1)[2]
+    pairs = written(similarity.pairs(edges), "pairs")
+    rows = features.build(_balanced(spark, edges, _candidates(spark, sf, pairs)), _known(spark, sf), edges, pairs, True, ("k",))
+    return model.tune(written(rows, "train"), link_prediction.FEATURES, MODEL_GRID, n_splits=2, n_repeats=1)[2]
 
 
-def _balanced(spark, sf, edges):
+def _balanced(spark, edges, found):
     """Drawn pairs and edges, for a model over few rows."""
-    drawn = features.sample_pairs(spark, _linked_nodes(edges), edges.limit(0).select(F.col("src").alias("i"), F.col("dst").alias("j")), MODEL_DRAWN)
+    drawn = features.sample_pairs(spark, _linked_nodes(edges), found, MODEL_DRAWN)
     linked = edges.select(F.xxhash64("src", "dst").bitwiseOR(F.lit(1 << 62)).alias("k"), F.col("src").alias("i"), F.col("dst").alias("j"))
     return drawn.unionByName(linked)
 
@@ -313,13 +311,29 @@ def _balanced(spark, sf, edges):
 def link_predictions(spark, sf):
     edges = written(_edges(spark, sf), "edges")
     pairs = written(similarity.pairs(edges), "pairs")
-    train = written(features.build(_balanced(spark, sf, edges), _known(spark, sf), edges, pairs, True, ("k",)), "train")
+    found = written(_candidates(spark, sf, pairs), "candidates")
+    train = written(features.build(_balanced(spark, edges, found), _known(spark, sf), edges, pairs, True, ("k",)), "train")
     fitted = model.gbt({"n_estimators": 5, "max_depth": 3}).fit(model.assembled(train, link_prediction.FEATURES))
-    rows = features.build(_candidates(spark, sf).select("i", "j"), _known(spark, sf), edges, pairs, False, ("i", "j"))
+    rows = features.build(found.select("i", "j"), _known(spark, sf), edges, pairs, False, ("i", "j"))
     out = model.scored(fitted, model.assembled(rows, link_prediction.FEATURES))
     return out.select("i", "j", "node_1", "node_2", "link_probability", "similarity", "cluster_node_1", "cluster_node_2")
 
 
+def link_analysis(spark, sf):
+    """The whole analysis with its own clusters and model: the report over all pairs."""
+    edges = written(_edges(spark, sf), "edges")
+    parts = _nodes(spark, sf).withColumn("title", F.concat_ws(" ", "title", "node"))  # names of parts aren't unique
+    nodes = parts.join(_linked_nodes(edges), "node", "left_semi").select("node", "title")
+    settings = link_prediction.Settings(category_blacklist=PART_WORDS, train_pairs=100 * MODEL_DRAWN, space=MODEL_GRID)
+    first = nodes.orderBy("node").limit(1).first()
+    return link_prediction.run(nodes, edges, parts.select("title", "categories"), first["title"] if first else "", settings).reports["overall"]
+
+
+def page_categories(spark, sf):
+    raw = graphs.table(spark, sf, "part").select(F.col("p_partkey").alias("title"), F.array(F.concat(F.lit("Category:"), "p_type"), F.concat(F.lit("Category:"), "p_brand")).alias("categories"))
+    return graphs.page_categories(raw)
+
+
 def report_overall(spark, sf):
     return report.overall(_stand_in_scores(spark, sf))
 
@@ -349,8 +363,8 @@ QUERIES = {
         degree_prune, bfs_ball_depth2, induced_subgraph, frontier_unfetched, common_neighbors, total_neighbors, jaccard, affinity_distance, similarity_thresholds, weak_candidates,
         strong_candidates, missing_link_candidates, candidates_specific_cluster, candidates_specific_node, top_k_candidates, train_pair_sample, features_candidates, features_train, category_overlap,
         class_ratio, train_test_split, stratified_folds, param_grid, hyperparam_marginals, confusion_matrix, classification_metrics, roc_curve, youden_threshold, core_distance, mutual_reachability, mst_edges,
-        hdbscan_labels, epsilon_sweep, noise_recluster, silhouette_rows, cluster_sizes, start_cluster_members, gbt_grid_search, link_predictions, report_overall, report_start_cluster, report_start_node,
-        report_cross_cluster, graph_stats,
+        hdbscan_labels, epsilon_sweep, noise_recluster, silhouette_rows, cluster_sizes, start_cluster_members, gbt_grid_search, link_predictions, page_categories, report_overall, report_start_cluster, report_start_node,
+        report_cross_cluster, graph_stats, link_analysis,
     )
 }
 
@@ -378,18 +392,44 @@ ruled AS (SELECT i, j, similarity, ci, cj, ci = cj AND ci >= 0 AND round(similar
 cand AS (SELECT i, j, similarity FROM ruled WHERE weak OR strong)"""
 _DISTANCE = f"""{_PAIRS},
 top AS (SELECT max(similarity + adj) AS m FROM pairs),
-dist AS (SELECT i, j, CASE WHEN m = 0 THEN 1.0::DOUBLE ELSE 1 - (similarity + adj) / m END AS d FROM pairs, top),
+dist AS MATERIALIZED (SELECT i, j, CASE WHEN m = 0 THEN 1.0::DOUBLE ELSE 1 - (similarity + adj) / m END AS d FROM pairs, top),
 both_ways AS (SELECT i, j, d FROM dist UNION ALL SELECT j, i, d FROM dist),
-ranked AS (SELECT i AS node, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM both_ways),
-core AS (SELECT l.node, least(coalesce(k.d, 1.0::DOUBLE), 1.0::DOUBLE) AS core FROM linked l LEFT JOIN (SELECT node, d FROM ranked WHERE r = 4) k ON k.node = l.node)"""
+ranked AS MATERIALIZED (SELECT i AS node, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM both_ways),
+core AS MATERIALIZED (SELECT l.node, least(coalesce(k.d, 1.0::DOUBLE), 1.0::DOUBLE) AS core FROM linked l LEFT JOIN (SELECT node, d FROM ranked WHERE r = 4) k ON k.node = l.node)"""
+#: Every two nodes' distance is that of their rows of similarities, scaled, with 1 for a node's own.
+_SILHOUETTE = f"""{_DISTANCE},
+cells AS MATERIALIZED (SELECT i AS row, j AS col, 1 - d AS v FROM both_ways UNION ALL SELECT node, node, 1.0::DOUBLE FROM linked),
+squares AS (SELECT row, sum(v * v) AS s, any_value(p.cluster) AS cluster FROM cells JOIN parts p ON p.node = row GROUP BY row),
+dots AS (SELECT a.row AS x, b.row AS y, sum(a.v * b.v) AS dot FROM cells a JOIN cells b ON a.col = b.col GROUP BY 1, 2),
+apart AS (SELECT a.row AS x, a.cluster AS own, b.cluster AS other, sum(sqrt(greatest(a.s + b.s - 2 * coalesce(dot, 0), 0))) AS total, count(*) AS n FROM squares a JOIN squares b ON a.row <> b.row LEFT JOIN dots ON x = a.row AND y = b.row GROUP BY ALL),
+sides AS (SELECT x, max(CASE WHEN own = other THEN total / n END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b FROM apart GROUP BY x)"""
+
+
+def _boruvka(rounds: int = 12, jumps: int = 8) -> str:
+    """The spanning tree's rounds written out: the least edge of each component, hooks without their cycles, jumps to the root."""
+    parts = ["reach AS MATERIALIZED (SELECT * FROM (SELECT i, j, greatest(d, a.core, b.core) AS d FROM dist JOIN core a ON a.node = i JOIN core b ON b.node = j) WHERE d < 1)", "l0 AS (SELECT node, node AS c FROM linked)"]
+    for r in range(rounds):
+        parts += [
+            f"o{r} AS MATERIALIZED (SELECT a.c AS a, b.c AS b, d, i, j FROM reach JOIN l{r} a ON a.node = i JOIN l{r} b ON b.node = j WHERE a.c <> b.c)",
+            f"m{r} AS MATERIALIZED (SELECT * FROM (SELECT a AS c, b AS p, d, i, j FROM o{r} UNION ALL SELECT b, a, d, i, j FROM o{r}) QUALIFY row_number() OVER (PARTITION BY c ORDER BY d, i, j) = 1)",
+            f"j{r}_0 AS MATERIALIZED (SELECT m.c, CASE WHEN n.p = m.c AND m.c < m.p THEN m.c ELSE m.p END AS p FROM m{r} m JOIN m{r} n ON n.c = m.p)",
+            *(f"j{r}_{k + 1} AS MATERIALIZED (SELECT x.c, y.p FROM j{r}_{k} x JOIN j{r}_{k} y ON y.c = x.p)" for k in range(jumps)),
+            f"l{r + 1} AS MATERIALIZED (SELECT node, coalesce(y.p, l.c) AS c FROM l{r} l LEFT JOIN j{r}_{jumps} y ON y.c = l.c)",
+        ]
+    heads = f"heads AS (SELECT min(node) AS head FROM l{rounds} GROUP BY c)"
+    joined = "SELECT (SELECT min(head) FROM heads) AS i, head AS j, 1.0::DOUBLE AS d FROM heads WHERE head > (SELECT min(head) FROM heads)"
+    return f"{_DISTANCE}, {', '.join(parts)}, {heads} {' UNION '.join(f'SELECT i, j, d FROM m{r}' for r in range(rounds))} UNION ALL {joined}"
+
+
 _BALL = f"""{_GRAPH},
 walk AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT a.dst, w.depth + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.depth < 2),
 ball AS (SELECT node, min(depth)::INTEGER AS bfs_depth FROM walk GROUP BY node)"""
 _MD5 = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 
-def _sampled(n: int) -> str:
-    return f"""draws AS (SELECT range AS k, {_MD5.format("'i' || range")} % (SELECT count(*) FROM linked) AS a, {_MD5.format("'j' || range")} % (SELECT count(*) FROM linked) AS b FROM range({n})),
+#: Keys of drawn pairs are five for each candidate, a million at least; so many always leave as many pairs as candidates here.
+_SAMPLED = f"""keys AS (SELECT unnest(range((SELECT greatest(5 * count(*), 1000000) FROM cand))) AS k),
+draws AS (SELECT k, {_MD5.format("'i' || k")} % (SELECT count(*) FROM linked) AS a, {_MD5.format("'j' || k")} % (SELECT count(*) FROM linked) AS b FROM keys),
 drawn AS (SELECT k, x.node AS i, y.node AS j FROM draws JOIN linked x ON x.idx = a JOIN linked y ON y.idx = b),
 sampled AS (SELECT k, i, j FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.i = d.i AND c.j = d.j))"""
 
@@ -421,6 +461,7 @@ ORACLE_SQL = {
     "link_blacklist_filter": f"SELECT * FROM ({_HREFS}) WHERE NOT ({' OR '.join(f"contains(lower(link), '{w}')" for w in [*text.LINK_BLACKLIST, 'th'])})",
     "word_blacklist_filter": "SELECT p_partkey, lower(p_name) AS p_name FROM part WHERE NOT list_has_any(regexp_split_to_array(trim(lower(p_name)), '\\s+'), ['widget', 'small'])",
     "category_charset_strip": "SELECT p_partkey, ltrim('Category:' || p_type, 'Category:') AS category, p_type AS strict FROM part",
+    "page_categories": "SELECT p_partkey AS title, u.pos, ltrim(u.raw, 'Category:') AS category FROM part, (VALUES (0), (1)) n(pos), LATERAL (SELECT n.pos::INTEGER AS pos, 'Category:' || CASE WHEN n.pos = 0 THEN p_type ELSE p_brand END AS raw) u",
     "category_sets": f"{_PAIRS} SELECT node, len(cats)::INTEGER AS n, array_to_string(list_sort(cats), '|') AS cats FROM known",
     "node_degrees": f"{_GRAPH} SELECT node, degree FROM deg",
     "degree_quantile": f"{_GRAPH} SELECT q AS quantile, trunc(least(15.0::DOUBLE, q))::INTEGER AS threshold FROM (SELECT round(quantile_cont(degree::DOUBLE, 0.33), 12) AS q FROM deg)",
@@ -439,9 +480,9 @@ ORACLE_SQL = {
     "candidates_specific_cluster": f"{_PAIRS} SELECT i, j, similarity FROM ruled WHERE (weak AND ci = 3) OR strong",
     "candidates_specific_node": f"{_PAIRS} SELECT i, j, similarity FROM ruled WHERE (weak AND (i = 7 OR j = 7)) OR strong",
     "top_k_candidates": f"{_PAIRS} SELECT i, j, similarity FROM ruled WHERE strong ORDER BY similarity DESC, i, j LIMIT 20",
-    "train_pair_sample": f"{_PAIRS}, {_sampled(DRAWN)} SELECT k, i, j FROM sampled",
+    "train_pair_sample": f"{_PAIRS}, {_SAMPLED} SELECT k, i, j FROM sampled",
     "features_candidates": f"{_PAIRS} SELECT {_FEATURES} {_FROM.format('(SELECT * FROM cand WHERE similarity > 0)')}",
-    "features_train": f"{_PAIRS}, {_sampled(DRAWN)} SELECT s.k, {_FEATURES}, coalesce(p.adj, 0) AS link {_FROM.format('sampled')}",
+    "features_train": f"{_PAIRS}, {_SAMPLED} SELECT s.k, {_FEATURES}, coalesce(p.adj, 0) AS link {_FROM.format('sampled')}",
     "category_overlap": f"{_PAIRS} SELECT src, dst, len(list_intersect(a.cats, b.cats))::INTEGER AS common_categories, len(list_distinct(list_concat(a.cats, b.cats)))::INTEGER AS total_categories FROM edges JOIN known a ON a.node = src JOIN known b ON b.node = dst",
     "class_ratio": f"{_JUDGED} SELECT round(sum(CASE WHEN link = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE / nullif(sum(link), 0), 9) AS ratio FROM judged",
     "train_test_split": f"{_JUDGED} SELECT doc_id, CASE WHEN {_MD5.format("'split42:' || doc_id")} / 4294967296.0::DOUBLE < 0.3::DOUBLE THEN 'test' ELSE 'train' END AS part FROM judged",
@@ -455,6 +496,8 @@ SELECT round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy, round(tp / (tp + f
     "youden_threshold": f"{_ROC} SELECT threshold, round(tpr - fpr, 9) AS j FROM curve ORDER BY round(tpr - fpr, 12) DESC, threshold DESC LIMIT 1",
     "core_distance": f"{_DISTANCE} SELECT node, round(core, 9) AS core FROM core",
     "mutual_reachability": f"{_DISTANCE} SELECT i, j, round(greatest(d, a.core, b.core), 9) AS d FROM dist JOIN core a ON a.node = i JOIN core b ON b.node = j",
+    "mst_edges": _boruvka(),
+    "silhouette_rows": f"{_SILHOUETTE} SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sides",
     "cluster_sizes": "SELECT cluster, count(*) AS size FROM (SELECT CASE WHEN p_size > 45 THEN -1 ELSE p_size % 8 END::INTEGER AS cluster FROM part) GROUP BY cluster",
     "start_cluster_members": f"{_PAIRS} SELECT node, cluster FROM parts WHERE cluster = (SELECT cluster FROM parts WHERE node = 0)",
     "report_overall": f"{_SCORED} SELECT * FROM good {_TOP}",

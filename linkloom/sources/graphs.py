@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions import text
+
 #: The destination of each anchor in a page.
 HREF = r'href="([^"]*)"'
 
@@ -21,6 +23,12 @@ def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(F.col(id_col).alias("title"), F.posexplode(found).alias("pos", "link"))
 
 
+def page_categories(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """``title, pos, category`` of pages with a list of raw ``categories``, the marker before each stripped as :func:`text.strip_category` does."""
+    each = pages.select("title", F.posexplode("categories").alias("pos", "raw")).where("raw is not null")
+    return each.select("title", "pos", text.strip_category(F.col("raw"), strict).alias("category"))
+
+
 def link_lists(links: DataFrame) -> DataFrame:
     """``title, links``: the long form gathered to arrays, in order of ``pos``."""
     pairs = F.sort_array(F.collect_list(F.struct("pos", "link")))
