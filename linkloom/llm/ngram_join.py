@@ -30,6 +30,8 @@ BLOCK_GRAMS, MANY_BLOCKS, WIDEN = 200_000, 20_000, 16
 PIECES = 512
 #: Cells that a row has in a block of columns of the product, about: longer rows are cut into twice as many blocks, and again.
 ROW_CELLS = 4096
+#: N-grams of a difference, the rarest first, by which a pair that meets in several is made only once.
+LEAD = 32
 #: The most documents whose ids are sent to every task; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
 #: Bytes of a hash that tell columns of one block apart; two that look like one are counted too often.
@@ -356,14 +358,18 @@ def _rest(entries: DataFrame, found: DataFrame, cells: DataFrame, share: int) ->
     often = grams.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
     own = Window.partitionBy("p", "q")
     grams = grams.join(often, ["p", "gram"]).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("often", "gram")))
-    grams = scratch.written(grams.where((F.col("outside") & F.expr("rank <= n - as_s + 1")) | F.expr("rank <= n - as_y + 1")), "grams")
-    told = ("q", "q_size", "component", "d", "n", "rank")
-    s = grams.where(F.col("outside") & F.expr("rank <= n - as_s + 1")).select("p", "gram", *(F.col(c).alias(f"s_{c}") for c in told))
-    y = grams.where("rank <= n - as_y + 1").select("p", "gram", *(F.col(c).alias(f"y_{c}") for c in told))
+    grams = grams.where((F.col("outside") & F.expr("rank <= n - as_s + 1")) | F.expr("rank <= n - as_y + 1"))
+    grams = scratch.written(grams.withColumn("lead", F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= LEAD, F.struct("rank", "gram"))).over(own)), lambda x: x["gram"])), "grams")
+    told = ("q", "q_size", "component", "d", "n", "rank", "last", "lead")
+    s = grams.where(F.col("outside")).withColumn("last", F.expr("n - as_s + 1")).where("rank <= last").select("p", "gram", *(F.col(c).alias(f"s_{c}") for c in told))
+    y = grams.withColumn("last", F.expr("n - as_y + 1")).where("rank <= last").select("p", "gram", *(F.col(c).alias(f"y_{c}") for c in told))
     fits = F.least("s_q_size", "y_q_size") * 100 >= F.greatest("s_q_size", "y_q_size") * share
     # what S and Y can have in common before, at and after this n-gram, against what a link takes
     enough = F.expr(f"2 * (least(s_rank, y_rank) + least(s_n - s_rank, y_n - y_rank)) >= s_d + y_d - (s_q_size + y_q_size) * {100 - share} div {100 + share}")
-    pairs = s.join(y, ["p", "gram"]).where(F.expr("s_component <> y_component") & fits & enough)
+    # of the first n-grams that both have there, only the first makes the pair; both order them alike
+    met = F.expr(f"array_intersect(slice(s_lead, 1, greatest(0, least({LEAD}, s_last))), slice(y_lead, 1, greatest(0, least({LEAD}, y_last))))")
+    once = F.when(F.size(met) > 0, met[0] == F.col("gram")).otherwise(F.lit(True))
+    pairs = s.join(y, ["p", "gram"]).where(F.expr("s_component <> y_component") & fits & enough & once)
     ends = F.expr("if(s_q < y_q, struct(s_q as p, y_q as q, s_q_size as p_size, y_q_size as q_size), struct(y_q as p, s_q as q, y_q_size as p_size, s_q_size as q_size))")
     return pairs.select(ends.alias("x")).select("x.*").distinct()
 
