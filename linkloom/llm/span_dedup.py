@@ -5,7 +5,8 @@ hash of its short word n-grams, so equal windows have equal anchors and few
 positions of a text are anchors. Documents that share no anchor share no window.
 Of the others, the windows around each shared anchor are compared: first all at
 once, by a digest of the run of windows that have the anchor, then, for the
-first document of each run, one by one.
+first document of each run, one by one. Both are told apart by the anchor and a
+digest, 128 bits together, where windows with one anchor have an n-gram in common.
 """
 
 from __future__ import annotations
