@@ -107,7 +107,10 @@ def byte_cuts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     good &= ~(wide & (two == 0xC2) & ((before == 0x85) | (before == 0xA0)))
     good &= ~(wide & (three >= 0xE1) & (three <= 0xE3) & (two >= 0x80))
-    return np.union1d(at[good], texts[texts < len(data)])
+    cut = np.zeros(len(data), bool)
+    cut[at[good]] = True
+    cut[texts[texts < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
 class HashedEncoder:
