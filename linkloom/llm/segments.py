@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from linkloom.llm import arrow
+from linkloom.llm import arrow, shingles
 
 _CUT = re.compile(r"(?<=\S) ")
 _SPACES = re.compile(r"\s\s|\A\s")
@@ -114,43 +114,42 @@ def byte_cuts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class HashedEncoder:
-    """Like :class:`SegmentEncoder`, with the memo's keys hashed column by column.
+    """Like :class:`SegmentEncoder`, with the memo's keys hashed by words of eight bytes.
 
-    A key is two sums of bytes times random odd numbers for their places, and
-    the length: two segments of one length have the same key once in 2^112.
-    The memo holds numbers only, a sixth of what strings take.
+    A key is two chains of mixed words that start from the length: two segments
+    of one length up to eight bytes never have the same key, others about once
+    in 2^128. The memo holds numbers only, a sixth of what strings take.
     """
 
-    #: Bytes that are hashed at once, and the longest segment that is.
-    STEP, LONGEST = 1 << 20, 2048
+    #: Bytes of a word, and the longest segment that is hashed so.
+    WORD, LONGEST = 8, 2048
+    _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+    _ODD = np.array([0xA4093822299F31D1, 0x082EFA98EC4E6C89], np.uint64)
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int) -> None:
         self._encode, self._limit = encode, limit
-        own = np.random.default_rng(20240501)
-        self._weights = own.integers(0, 1 << 63, (2, self.LONGEST), np.uint64) * np.uint64(2) + np.uint64(1)
         self._reset()  # the memo outlives tasks: it takes 45 MB at most
 
     def _reset(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.lens, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.empty((2, len(starts)), np.uint64)
-        blocks = np.searchsorted(starts, np.arange(starts[0], starts[-1] + self.STEP, self.STEP))
-        for a, b in zip(blocks, np.append(blocks[1:], len(starts))):
-            if a == b:
-                continue
-            short = sizes[a:b] <= self.LONGEST
-            lo, n = starts[a:b][short], sizes[a:b][short]
-            if len(lo):
-                heads = np.cumsum(n) - n
-                place = np.arange(int(n.sum())) - np.repeat(heads, n)
-                values = data[place + np.repeat(lo, n)].astype(np.uint64) + np.uint64(1)
-                for k in range(2):
-                    out[k, a:b][short] = np.add.reduceat(self._weights[k][place] * values, heads) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for i in np.flatnonzero(~short).tolist():
-                digest = xxhash.xxh3_128_intdigest(data[starts[a + i] : starts[a + i] + sizes[a + i]].tobytes())
-                out[:, a + i] = digest >> 64, digest & ((1 << 64) - 1)
+    def _hashes(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.ndarray(len(raw), "<u8", raw + bytes(self.WORD), strides=(1,))  # the word at each byte
+        out = [shingles.mix(seed ^ sizes.astype(np.uint64)) for seed in self._SEEDS]
+        long = sizes > self.LONGEST
+        left = np.flatnonzero(~long)
+        at = 0
+        while len(left):
+            rest = np.minimum(sizes[left] - at, self.WORD).astype(np.uint64)
+            word = words[starts[left] + at] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - rest * np.uint64(8)))
+            for k in range(2):
+                out[k][left] = shingles.mix(out[k][left] * self._ODD[k] ^ word)
+            at += self.WORD
+            left = left[sizes[left] > at]
+        for i in np.flatnonzero(long).tolist():
+            digest = xxhash.xxh3_128_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+            out[0][i], out[1][i] = digest >> 64, digest & ((1 << 64) - 1)
         return out[0], out[1]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +161,7 @@ class HashedEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         starts = byte_cuts(data, bounds[:-1])
         sizes = np.diff(starts, append=len(data))
-        key, check = self._hashes(data, starts, sizes)
+        key, check = self._hashes(raw, starts, sizes)
         found, first, place = np.unique(key, return_index=True, return_inverse=True)
         if len(self.keys) > self._limit:
             self._reset()

@@ -300,3 +300,17 @@ def test_what_is_not_the_article_is_still_dropped():
     page = '<body><article>Short.</article><div class="comments">Readers write far more than the article has.</div><div id="cookie-notice">We use cookies</div><div class="site-footnav">x</div></body>'
     assert [text for _, text, _ in html_text.blocks(page).blocks] == ["Short."]
     assert [text for _, text, _ in html_text.blocks('<p>One wo<span class="share">tell</span>rd.').blocks] == ["One word."]
+
+
+def test_hashed_segments_keep_their_own_ids():
+    def encode(parts):
+        raw = [p.encode() for p in parts]
+        return np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32), np.array([len(x) for x in raw], np.int64)
+
+    own = segments.HashedEncoder(encode, limit=40)
+    rng = random.Random(7)
+    for _ in range(30):
+        texts = ["".join(rng.choice(["a", "\0", "b", " ", "é", "\n"]) for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 17, 300]))) for _ in range(20)]
+        texts += ["a" * n + "\0" * k for n in (1, 7, 8, 2047, 2048, 2049) for k in (0, 1, 8)]
+        ids, bounds = own.encode(texts)
+        assert [bytes(ids[a:b].astype(np.uint8)).decode() for a, b in zip(bounds[:-1], bounds[1:])] == texts
